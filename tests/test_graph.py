@@ -16,6 +16,7 @@ from vertexloom.operators.edge_map import active_edges, edge_map, vertex_map
 from vertexloom.plans import algorithms as alg
 from vertexloom.plans import queries as Q
 from vertexloom.plans.fixpoint import iterate
+from vertexloom.plans.shared import checkpointed
 from vertexloom.sources import csr, edgelist
 
 SMALL = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 4), (4, 5), (5, 6), (6, 2), (6, 3), (8, 9), (9, 10), (13, 14)]
@@ -232,10 +233,17 @@ def test_edge_lists(spark, tmp_path):
 
 def test_loops_keep_their_partitioning(spark, small):
     """A round shuffles messages only: neither edges nor state move."""
-    state = alg._alike(small, small.vertices().withColumn("active", F.lit(True))).checkpoint()
-    sent = edge_map(small.prepared, F.count("*"), state.where("active").select("id"))
-    plan = alg._received(state, sent)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") <= 1
+    state = checkpointed(alg._alike(small, small.vertices().withColumn("active", F.lit(True))))
+    edges = small.prepared
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = edge_map(edges, F.count("*"), state.where("active").select("id"))
+        plan = alg._received(state, sent)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(dst" in plan
 
 
 def test_entry(spark):

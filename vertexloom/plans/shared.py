@@ -21,6 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, its partitioning kept: a lost executor costs nothing, and plans start here."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the shared folder, its partitioning kept: a lost executor costs nothing, and plans start here.
+
+    An adaptive plan doesn't tell how its result is partitioned, so it is off while this plan is made.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
