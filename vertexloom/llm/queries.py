@@ -12,6 +12,7 @@ from vertexloom.llm.jaccard import jaccard_query
 from vertexloom.llm.langid import language_query
 from vertexloom.llm.mixing import mix_query
 from vertexloom.llm.neardup import near_duplicate_query
+from vertexloom.llm.oracles import JACCARD, MIX, NEAR
 from vertexloom.llm.packing import pack_query
 from vertexloom.llm.sharding import shard_query
 from vertexloom.llm.tokenfile import token_file_query
@@ -38,4 +39,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": lambda s, d: token_count_query(table(s, d, "documents"), tokenizer("byte_bpe_50k.json")),
 }
 
-ORACLES: dict[str, str] = {}
+#: Tokenizers, trained models, hashes and rings that DuckDB lacks are compared with brute force in tests/llm instead.
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": JACCARD, "op2_mix_sources": MIX, "op5_embedding_near_dedup": NEAR}
