@@ -24,7 +24,8 @@ class Graph:
     @classmethod
     def from_edges(cls, edges: DataFrame) -> Graph:
         """Raises ValueError for an empty edge list, and for ids that are null or outside [0, MAX_ID]."""
-        e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+        # a cast to the same type would be renamed away above the shuffle, and loops would not know their partitioning
+        e = edges.select(*[c if dict(edges.dtypes)[c] == "bigint" else F.col(c).cast("long").alias(c) for c in ("src", "dst")])
         s = e.agg(F.min(F.least("src", "dst")).alias("lo"), F.max(F.greatest("src", "dst")).alias("hi"), F.count_if(F.col("src").isNull() | F.col("dst").isNull()).alias("nulls")).first()
         if s.nulls:
             raise ValueError(f"{s.nulls} edges have a null end")
