@@ -14,6 +14,7 @@ from vertexloom.graph import Graph
 from vertexloom.operators import frontier
 from vertexloom.operators.edge_map import active_edges, edge_map, vertex_map
 from vertexloom.plans import algorithms as alg
+from vertexloom.plans import etl
 from vertexloom.plans import queries as Q
 from vertexloom.plans.fixpoint import iterate
 from vertexloom.plans.shared import checkpointed
@@ -231,6 +232,16 @@ def test_edge_lists(spark, tmp_path):
         edgelist.read_edges(spark, str(tmp_path / "g.txt")).collect()
 
 
+def test_conversions(spark, tmp_path):
+    (tmp_path / "g.txt").write_text("".join(f"{a} {b}\n" for a, b in reversed(SMALL)))
+    p = lambda x: str(tmp_path / x)
+    etl.main(["edgelist2csr", "-i", p("g.txt"), "-o", p("raw"), "--make-undirected"])
+    etl.main(["compress", "-i", p("raw"), "-o", p("delta")])
+    etl.main(["print", "-i", p("delta"), "-o", p("text")])
+    assert pairs(edgelist.read_edges(spark, p("text"))) == sorted(SMALL + [(b, a) for a, b in SMALL])
+    assert csr.num_vertices(spark, p("delta")).first()[0] == 15
+
+
 def test_loops_keep_their_partitioning(spark, small):
     """A round shuffles messages only: neither edges nor state move."""
     state = checkpointed(alg._alike(small, small.vertices().withColumn("active", F.lit(True))))
