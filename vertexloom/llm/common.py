@@ -61,6 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
     centres are the smallest ids. Ids without an edge (or with a self-loop only) get no row.
     """
     e = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
     while True:
         # large star: every larger neighbour of u points to the smallest of u and its neighbours
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -70,11 +71,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         new = cut(small, "edges")
-        sums = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (e, new)]
+        after = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         drop_cut(e)
         e = new
-        if tuple(sums[0]) == tuple(sums[1]):
+        if after == before:
             break
+        before = after
     roots = e.select(F.col("b").alias("id")).distinct()
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
 

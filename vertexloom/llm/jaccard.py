@@ -10,6 +10,9 @@ summed over the sets beyond it, is least.
 The global order is by frequency class, then hash. Classes come from counters of hashed shingles over all documents (a
 table of fixed size); any order is right, and one that puts frequent shingles last keeps the lists short.
 
+Before texts are compared, a bound by bitmaps decides most candidates exactly: each set has the parity of its shingles
+in as many bits as it has shingles, or more, and two sets differ in no fewer shingles than their bitmaps in bits.
+
 A list is worked off by pivots: its first K_r sets, in one order for all lists, are paired with all that follow them, and
 leave it; in the next round the rest goes on, with more pivots, unless all its sets are known to be in one component by
 then. So a list whose sets are alike costs a star, not all pairs, and no pair of sets of different components is missed.
@@ -46,12 +49,16 @@ class Params:
     width: int = 5
     counters: int = 1 << 20
     pivots: int = 4
-    more: int = 4
+    more: int = 16
 
     def overlap(self, n):
         """The least overlap of a set of n with a partner: ceil(num / den * n)."""
         return -(-(self.num * n) // self.den)
 
+    def differ(self, both):
+        """In how many shingles at most two linked sets of `both` shingles in sum differ."""
+        return (self.den - self.num) * both // (self.den + self.num)
+
     def indexed(self, n):
         """How many first shingles the smaller set of a pair must be found by: n - ceil(2 num n / (num + den)) + 1."""
         return n + (-2 * self.num * n) // (self.num + self.den) + 1
@@ -128,16 +135,51 @@ def in_order(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return s[np.argsort(classes[(s & np.uint64(len(classes) - 1)).astype(np.int64)], kind="stable")]
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """The parity of a set's hashes in 2^k words of 64 bits, 2^k * 64 >= 2 n, up to 256 words."""
+    words = 1 << min(8, max(2, (2 * len(s) - 1).bit_length() - 6))
+    odd = np.bincount((s & np.uint64(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of many sets, and how many bits pairs of them differ in: the longer one is folded upon itself."""
+
+    def __init__(self, data: list[bytes]):
+        size = np.array([len(x) // 8 for x in data], np.int64)
+        self.size, self.at, self.levels = size, np.zeros(len(data), np.int64), {}
+        for w in np.unique(size).tolist():
+            own = np.flatnonzero(size == w)
+            self.at[own] = np.arange(len(own))
+            m = np.frombuffer(b"".join(data[i] for i in own), "<u8").reshape(-1, w)
+            self.levels[w, w] = m
+            while w > 4:
+                m = m[:, : w // 2] ^ m[:, w // 2 :]
+                w //= 2
+                self.levels[len(data[own[0]]) // 8, w] = m
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        kinds = self.size[a] * 1024 + self.size[b]
+        for kind in np.unique(kinds).tolist():
+            k = np.flatnonzero(kinds == kind)
+            wa, wb = divmod(kind, 1024)
+            w = min(wa, wb)
+            x = self.levels[wa, w][self.at[a[k]]] ^ self.levels[wb, w][self.at[b[k]]]
+            out[k] = np.bitwise_count(x).sum(axis=1)
+        return out
+
+
 def heads(docs: DataFrame, classes: np.ndarray, p: Params) -> DataFrame:
-    """A second pass: rows (doc_id, n, d1, d2, least, head, cost): the n - o + K first shingles as bytes, the few least
-    hashes, and what scanning their lists costs. Empty sets and null ids give none."""
+    """A second pass: rows (doc_id, n, d1, d2, least, head, bits, cost): the n - o + K first shingles as bytes, the few
+    least hashes, the bitmap, and what scanning the lists costs. Empty sets and null ids give none."""
     weight = np.concatenate([[1.0], 8.0 * np.exp2(np.arange(64))])
     sent = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for i, x in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 s = shingle_set((x.as_py() or "").encode("utf-8"), p.width)
                 if not len(s) or i is None:
@@ -145,13 +187,13 @@ def heads(docs: DataFrame, classes: np.ndarray, p: Params) -> DataFrame:
                 n = len(s)
                 first = in_order(s, known)[: n - p.overlap(n) + K]
                 cost = float(weight[known[(first & np.uint64(len(known) - 1)).astype(np.int64)]].sum())
-                for col, v in zip(out, (i, n, *digest(s), s[:4].tobytes(), first.tobytes(), cost)):
+                for col, v in zip(out, (i, n, *digest(s), s[:4].tobytes(), first.tobytes(), bitmap(s), cost)):
                     col.append(v)
-            types = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.float64()]
+            types = [pa.int64()] * 4 + [pa.binary()] * 3 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
-    names = ["doc_id", "n", "d1", "d2", "least", "head", "cost"]
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, least binary, head binary, cost double")
+    names = ["doc_id", "n", "d1", "d2", "least", "head", "bits", "cost"]
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, least binary, head binary, bits binary, cost double")
 
 
 def boundary(sets: DataFrame, p: Params) -> int:
@@ -176,13 +218,14 @@ def subsets(first: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-ENTRY = "sig long, doc long, n long, first boolean, scan boolean, comp long"
+ENTRY = "sig long, doc long, n long, first boolean, scan boolean, comp long, bits binary"
 
 
 def entries(sets: DataFrame, x: int | None, p: Params) -> DataFrame:
     """Entries of the lists: (sig, doc, n, first, scan, comp). first: the set may be the smaller one of a pair found
-    here; scan: an inverted list, for pairs with a heavy set. With x None one entry for each of the few least hashes."""
-    arrow = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("first", pa.bool_()), ("scan", pa.bool_()), ("comp", pa.int64())])
+    here; scan: an inverted list, for pairs with a heavy set. With x None one entry for each of the few least hashes, with
+    the set's bitmap."""
+    arrow = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("first", pa.bool_()), ("scan", pa.bool_()), ("comp", pa.int64()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,16 +252,17 @@ def entries(sets: DataFrame, x: int | None, p: Params) -> DataFrame:
             rep = np.repeat(np.arange(batch.num_rows), count)
             kinds = np.concatenate(scan)
             h = np.concatenate(sig) ^ np.where(kinds, np.uint64(0), np.uint64(0xA5A5A5A5A5A5A5A5))
-            cols = [pa.array(h.view(np.int64)), *(batch.column(c).take(pa.array(rep)) for c in ("doc_id", "n")), pa.array(np.concatenate(first)), pa.array(kinds), batch.column("comp").take(pa.array(rep))]
+            cols = [pa.array(h.view(np.int64)), *(batch.column(c).take(pa.array(rep)) for c in ("doc_id", "n")), pa.array(np.concatenate(first)), pa.array(kinds), batch.column("comp").take(pa.array(rep)), batch.column("bits").take(pa.array(rep))]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    head = "least" if x is None else "head"
-    return sets.select("doc_id", "n", F.col(head).alias("head"), "comp").mapInArrow(run, ENTRY)
+    head, bits = ("least", F.col("bits")) if x is None else ("head", F.lit(None).cast("binary"))
+    return sets.select("doc_id", "n", F.col(head).alias("head"), "comp", bits.alias("bits")).mapInArrow(run, ENTRY)
 
 
 def stars(listed: DataFrame, x: int, pivots: int, p: Params) -> DataFrame:
     """Works off `pivots` sets of each list: rows (a, b) of candidate pairs, and rows (sig, doc, ...) of what stays in
-    lists. Reads the lists as a stream; of a list only its pivots are held."""
+    lists. Reads the lists as a stream; of a list only its pivots are held. Where entries have bitmaps, pairs that these
+    rule out aren't given."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("first", pa.bool_()), ("scan", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +285,8 @@ def stars(listed: DataFrame, x: int, pivots: int, p: Params) -> DataFrame:
             first, scan = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("first", "scan"))
             new = np.arange(len(sig)) >= lead
             found = []
-            for k in range(pivots):
+            bits = Bitmaps(rows.column("bits").to_pylist()) if rows.column("bits").null_count == 0 else None
+            for k in range(min(pivots, int(place.max()) + 1)):
                 b = np.flatnonzero(new & (place > k))
                 if not len(b):
                     break
@@ -251,7 +296,11 @@ def stars(listed: DataFrame, x: int, pivots: int, p: Params) -> DataFrame:
                 ok = (comp[a] != comp[b]) & (p.den * lo >= p.num * hi)
                 ok &= np.where(lo == hi, first[a] | first[b], np.where(small, first[a], first[b]))
                 ok &= ~scan[a] | (hi > x)
-                found.append(np.stack([np.minimum(doc[a[ok]], doc[b[ok]]), np.maximum(doc[a[ok]], doc[b[ok]])], axis=1))
+                a, b = a[ok], b[ok]
+                if bits is not None and len(a):
+                    ok = bits.differ(a, b) <= p.differ(n[a] + n[b])
+                    a, b = a[ok], b[ok]
+                found.append(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])], axis=1))
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
             if len(pairs):
                 none = [pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())]
@@ -268,6 +317,26 @@ def stars(listed: DataFrame, x: int, pivots: int, p: Params) -> DataFrame:
     return order.mapInArrow(run, "a long, b long, sig long, doc long, n long, first boolean, scan boolean")
 
 
+def possible(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b) that the sizes and bitmaps of their sets don't rule out."""
+    own = sets.select("doc_id", "n", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            bits = Bitmaps(batch.column("x").to_pylist() + batch.column("y").to_pylist())
+            both = batch.column("n").to_numpy(zero_copy_only=False)
+            ok = np.flatnonzero(bits.differ(np.arange(m), np.arange(m, 2 * m)) <= p.differ(both))
+            yield batch.select(["a", "b"]).take(pa.array(ok))
+
+    left = own.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x"))
+    right = own.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y"))
+    d = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("n"))
+    return d.mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) whose texts link. Texts of the documents that occur in pairs are shuffled to the pairs' smaller
     document, and meet the other's there; sets are compared whole, as 64-bit hashes."""
@@ -309,7 +378,7 @@ def jaccard_components(docs: DataFrame, params: Params = Params()) -> DataFrame:
     light = seen.where("n is not null").select("doc_id", "n", "d1", "d2")
     classes = frequency_class(_sum_counters(seen.where("chunk is not null").select("chunk", "salt", "part"), p.counters))
     made = heads(docs, classes, p).groupBy("d1", "d2")
-    sets = cut(made.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cost").alias("cost"), F.first("least").alias("least"), F.first("head").alias("head")), "sets")
+    sets = cut(made.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cost").alias("cost"), F.first("least").alias("least"), F.first("head").alias("head"), F.first("bits").alias("bits")), "sets")
     x = boundary(sets, p)
     # round 0: the few least hashes join most of what is nearly equal
     own = sets.withColumn("comp", F.col("doc_id"))
@@ -321,13 +390,15 @@ def jaccard_components(docs: DataFrame, params: Params = Params()) -> DataFrame:
     pivots, rest = p.pivots, None
     while True:
         star = cut(stars(listed, x, pivots, p), "stars")
-        new = cut(verify(cut(star.where("a is not null").select("a", "b").distinct(), "pairs"), docs, p), "links")
+        pairs = star.where("a is not null").select("a", "b").distinct()
+        new = cut(verify(cut(possible(pairs, sets, p) if rest is None else pairs, "pairs"), docs, p), "links")
         links = links.unionByName(new)
         if not new.isEmpty():
             comp = cut(components(links), "components")
         left = _labelled(star.where("sig is not null").select("sig", "doc", "n", "first", "scan"), "doc", comp)
         open_ = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        left = cut(left.join(open_, "sig", "left_semi"), "rest")
+        left = left.join(open_, "sig", "left_semi").join(sets.select(F.col("doc_id").alias("doc"), "bits"), "doc")
+        left = cut(left.select("sig", "doc", "n", "first", "scan", "comp", "bits"), "rest")
         drop_cut(star)
         if rest is not None:
             drop_cut(rest)
