@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from vertexloom.functions.codec import MAX_BLOCK, CompressionOptions, compress, decompress, pack, unpack_delta_size, unpack_num_vals
 from vertexloom.graph import Graph
 from vertexloom.operators import frontier
-from vertexloom.operators.edge_map import active_edges, edge_map, vertex_map
+from vertexloom.operators.edge_map import active_edges, combined, edge_map, vertex_map
 from vertexloom.plans import algorithms as alg
 from vertexloom.plans import etl
 from vertexloom.plans import queries as Q
@@ -245,11 +245,12 @@ def test_conversions(spark, tmp_path):
 def test_loops_keep_their_partitioning(spark, small):
     """A round shuffles messages only: neither edges nor state move."""
     state = checkpointed(alg._alike(small, small.vertices().withColumn("active", F.lit(True))))
-    edges = small.prepared
+    small.prepared, small.has_hubs  # made before the plan
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        sent = edge_map(edges, F.count("*"), state.where("active").select("id"))
+        assert not small.has_hubs
+        sent = combined(small.out_edges(state.where("active").select("id")), F.count("*"))
         plan = alg._received(state, sent)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -257,6 +258,17 @@ def test_loops_keep_their_partitioning(spark, small):
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(dst" in plan
 
 
+def test_hubs(spark):
+    edges = [(0, v) for v in range(1, 200)] + [(v, v + 1) for v in range(1, 40)] + [(5, 0)]
+    g = graph(spark, edges)
+    assert g.has_hubs and g.hubs.count() < g.partitions
+    got = g.out_edges(spark.createDataFrame([(0, "x"), (5, "y")], "id long, tag string"))
+    assert sorted(tuple(r) for r in got.select("src", "dst", "tag").collect()) == sorted((a, b, "x" if a == 0 else "y") for a, b in edges if a in (0, 5))
+    assert g.spread.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 170
+    assert alg.bfs_summary(alg.bfs(g, 5)).first()[0] == 2
+    assert alg.components_summary(alg.components(g, weak=True)).first().components == 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(Q.ORACLES) <= set(Q.QUERIES)

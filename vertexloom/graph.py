@@ -66,9 +66,43 @@ class Graph:
         d = self.edges.groupBy("src").agg(F.count("*").alias("degree"))
         return self.edges.join(d, "src").select("src", "dst", "degree")
 
+    @cached_property
+    def hubs(self) -> DataFrame:
+        """(src, spread) of sources with more edges than an even share of a partition: fewer than there are partitions.
+        Their edges go to `spread` places each."""
+        d = self.edges.groupBy("src").agg(F.count("*").alias("degree"))
+        share = max(1, self.edges.count() // self.partitions)
+        hot = d.where(F.col("degree") > share).select("src", F.ceil(F.col("degree") / share).cast("int").alias("spread"))
+        return checkpointed(hot)
+
     @cached_property
     def prepared(self) -> DataFrame:
         """with_degree() written once to the shared folder, partitioned by src: rounds of a loop read it unshuffled."""
         e = self.edges.repartition(self.partitions, "src")
         d = e.groupBy("src").agg(F.count("*").alias("degree"))
         return checkpointed(e.join(d.hint("shuffle_hash"), "src").select("src", "dst", "degree"))
+
+    @cached_property
+    def spread(self) -> DataFrame:
+        """As prepared, for graphs with hubs: (src, place, dst, degree), partitioned by src and place."""
+        at = F.pmod(F.xxhash64("dst"), F.coalesce("spread", F.lit(1)).cast("long")).cast("int")
+        e = self.with_degree().join(F.broadcast(self.hubs), "src", "left")  # fewer rows than partitions
+        e = e.select("src", at.alias("place"), "dst", "degree")
+        return checkpointed(e.repartition(self.partitions, "src", "place"))
+
+    @cached_property
+    def has_hubs(self) -> bool:
+        return not self.hubs.isEmpty()
+
+    def out_edges(self, frontier: DataFrame) -> DataFrame:
+        """Edges (src, dst, degree) of the sources in frontier(id, ...), with its other columns, for the rounds of a loop.
+
+        Edges stay where they are. Without hubs the frontier, partitioned by id, does so too; with hubs its rows move, those
+        of a hub to each of its places, so that no task reads a hub's edges alone.
+        """
+        f = frontier.withColumnRenamed("id", "src")
+        if not self.has_hubs:
+            return self.prepared.join(f, "src")
+        f = f.join(F.broadcast(self.hubs), "src", "left")
+        f = f.withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1))).drop("spread")
+        return self.spread.join(f, ["src", "place"]).drop("place")

@@ -24,10 +24,15 @@ def active_edges(edges: DataFrame, frontier: DataFrame | None = None, where: Col
     return e
 
 
+def combined(messages: DataFrame, combine: Column) -> DataFrame:
+    """(id, message): combine for each destination of the given edges, partly before the shuffle by destination."""
+    return messages.groupBy(F.col("dst").alias("id")).agg(combine.alias("message"))
+
+
 def edge_map(edges: DataFrame, combine: Column, frontier: DataFrame | None = None, **active) -> DataFrame:
     """(id, message): combine (an aggregate over src, dst, degree and the frontier's columns) for each destination of an
     active edge. Messages are combined before the shuffle by destination, which is the only one."""
-    return active_edges(edges, frontier, **active).groupBy(F.col("dst").alias("id")).agg(combine.alias("message"))
+    return combined(active_edges(edges, frontier, **active), combine)
 
 
 def vertex_map(state: DataFrame, start: int | None = None, end: int | None = None, **columns: Column) -> DataFrame:

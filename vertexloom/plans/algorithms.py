@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
-from vertexloom.operators.edge_map import edge_map
+from vertexloom.operators.edge_map import combined
 from vertexloom.plans.fixpoint import iterate
 
 #: Damping, threshold and number of top vertices.
@@ -31,7 +31,7 @@ def bfs(graph: Graph, start: int) -> DataFrame:
     state = graph.vertices().select("id", F.when(at_start, 0).cast("int").alias("distance"), F.when(at_start, F.col("id")).alias("parent"), at_start.alias("active"))
 
     def step(s: DataFrame, rounds: int) -> DataFrame:
-        sent = edge_map(graph.prepared, F.min("src"), s.where("active").select("id"))
+        sent = combined(graph.out_edges(s.where("active").select("id")), F.min("src"))
         new = F.col("distance").isNull() & F.col("message").isNotNull()
         return _received(s, sent).select("id", F.when(new, rounds + 1).otherwise(F.col("distance")).cast("int").alias("distance"), F.when(new, F.col("message")).otherwise(F.col("parent")).alias("parent"), new.alias("active"))
 
@@ -48,7 +48,7 @@ def kcore(graph: Graph, k: int) -> DataFrame:
     state = graph.out_degrees().select("id", "degree", (F.col("degree") < k).alias("active"))
 
     def step(s: DataFrame, rounds: int) -> DataFrame:
-        sent = edge_map(graph.prepared, F.count("*"), s.where("active").select("id"))
+        sent = combined(graph.out_edges(s.where("active").select("id")), F.count("*"))
         left = F.col("degree") - F.coalesce("message", F.lit(0))
         return _received(s, sent).select("id", left.alias("degree"), ((F.col("degree") >= k) & (left < k)).alias("active"))
 
@@ -70,7 +70,7 @@ def components(graph: Graph, weak: bool = False) -> DataFrame:
     state = g.vertices().select("id", F.col("id").alias("label"), F.lit(True).alias("active"))
 
     def step(s: DataFrame, rounds: int) -> DataFrame:
-        sent = edge_map(g.prepared, F.min("label"), s.where("active").select("id", "label"))
+        sent = combined(g.out_edges(s.where("active").select("id", "label")), F.min("label"))
         low = F.coalesce(F.col("message") < F.col("label"), F.lit(False))
         return _received(s, sent).select("id", F.when(low, F.col("message")).otherwise(F.col("label")).alias("label"), low.alias("active"))
 
@@ -96,7 +96,7 @@ def pagerank(graph: Graph, most: int = 1000) -> tuple[DataFrame, int]:
     state = graph.vertices().select("id", F.lit(0.0).alias("value"), F.lit(1.0 - ALPHA).alias("delta"), F.lit(0.0).alias("residual"), F.lit(True).alias("active"))
 
     def step(s: DataFrame, rounds: int) -> DataFrame:
-        sent = edge_map(graph.prepared, F.sum(F.col("delta") * ALPHA / F.col("degree")), s.where("active").select("id", "delta"))
+        sent = combined(graph.out_edges(s.where("active").select("id", "delta")), F.sum(F.col("delta") * ALPHA / F.col("degree")))
         r = F.col("residual") + F.coalesce("message", F.lit(0.0))
         over = F.abs(r) > EPSILON
         return _received(s, sent).select("id", F.when(over, F.col("value") + r).otherwise(F.col("value")).alias("value"), F.when(over, r).otherwise(F.col("delta")).alias("delta"), F.when(over, 0.0).otherwise(r).alias("residual"), over.alias("active"))
