@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexloom.llm.common import cut
-from vertexloom.llm.tokens import WordEncoder, crc_of
+from vertexloom.llm.tokens import crc_of, word_encoder
 from vertexloom.llm.tokenfile import _runs
 
 #: Rows of one length are ranked in chunks of about so many.
@@ -186,7 +186,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int =
     into pieces of room tokens. Extra columns of docs are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for batch in batches:
             for lo, hi in _runs(batch.column("text")):
                 out: list[list] = [[] for _ in range(5)]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm.common import cut, mix
-from vertexloom.llm.tokens import WordEncoder, crc_of
+from vertexloom.llm.tokens import crc_of, word_encoder
 
 BLOCK_IDS = 1 << 18
 BLOCK_DOCS = 4096
@@ -131,7 +131,7 @@ def write_container(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = word_encoder(tokenizer), TaskContext.get().partitionId()
         ids, reps, tokens, size, block, start = [], [], [], 0, 0, 0
         last, rep = (), 0
 

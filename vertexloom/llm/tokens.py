@@ -29,6 +29,16 @@ def load(path: str):
     return _LOADED[path]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a file with the words it has met, once for each Python worker: its tasks share them."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 class WordEncoder:
     """Ids of whole texts from a tokenizer whose normaliser and pre-tokenizer never look across white space.
 
@@ -37,7 +47,7 @@ class WordEncoder:
     once. The words met are kept, up to `most` of them, then forgotten together.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 600_000):
         self.tokenizer, self.most = load(path), most
         self._forget()
 
