@@ -163,7 +163,7 @@ def write_container(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFra
     return cut(ordered.mapInArrow(run, SCHEMA), "tokens")
 
 
-def _runs(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _runs(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Row ranges of about most bytes of text."""
 
     size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +32,8 @@ def load(path: str):
     return _LOADED[path]
 
 
+#: Letters that neither lower-casing nor composition changes.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -47,8 +52,15 @@ class WordEncoder:
     once. The words met are kept, up to `most` of them, then forgotten together.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 800_000):
         self.tokenizer, self.most = load(path), most
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.end_of_word = None
+        if suffix:
+            self.end_of_word = np.zeros(1 + max(vocabulary.values()), bool)
+            self.end_of_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -56,13 +68,26 @@ class WordEncoder:
         self.lengths, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        ids = [x.ids for x in found]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+        plain = [w for w in words if _PLAIN.fullmatch(w)] if self.end_of_word is not None else []
+        rest = [w for w in words if not _PLAIN.fullmatch(w)] if plain else words
+        parts, lengths = [], []
+        if plain:  # one pre-token each, and only its last id ends a word: encoded side by side, cut after these ids
+            lines = [" ".join(plain[i : i + 256]) for i in range(0, len(plain), 256)]
+            ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(self.end_of_word[ids])
+            parts.append(ids)
+            lengths.append(np.diff(ends, prepend=-1))
+            if len(ends) != len(plain):
+                raise ValueError("a word of letters wasn't one pre-token")
+        if rest:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            parts.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+        n = np.concatenate(lengths)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
+        self.lengths = np.concatenate([self.lengths, n])
+        self.ids = np.concatenate([self.ids, *parts])
+        self.at.update(zip(chain(plain, rest), range(len(self.at), len(self.at) + len(words))))
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -73,12 +98,15 @@ class WordEncoder:
         each = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if new := [w for w in distinct if w not in self.at]:
+        known = np.fromiter((self.at.get(w, -1) for w in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(known < 0)
+        if len(new):
             if len(self.at) + len(new) > self.most:
                 self._forget()
-                new = distinct
-            self._learn(new)
-        k = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+                new = np.arange(len(distinct))
+            self._learn([distinct[i] for i in new])
+            known[new] = np.fromiter((self.at[distinct[i]] for i in new), np.int64, len(new))
+        k = known[coded.indices.to_numpy(zero_copy_only=False)]
         n = self.lengths[k]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
