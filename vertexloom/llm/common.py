@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,20 +85,20 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
 
 
-def may_hold(docs: DataFrame, ids: DataFrame, name: str = "may") -> DataFrame:
-    """docs with a boolean column: false only where doc_id isn't among ids (doc_id), true for the others and a few more.
+def may_hold(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (row, may) for the rows of docs: may is false only where doc_id isn't among ids (doc_id), true for the others
+    and a few more. row holds docs' columns whatever their names.
 
     One bit for each hash value, at least 16 for each id up to 2^27 bits (16 MB) in all: that bounds what is broadcast.
     """
     n = max(1, ids.count())
     bits = 1 << min(27, max(16, (16 * n - 1).bit_length()))
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    held = ids.where("doc_id is not null").select(at("doc_id").alias("h"))
-    held = held.groupBy(F.floor(F.col("h") / 32768).alias("_bucket")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("_bits"))
-    d = docs.withColumn("_h", at("doc_id")).withColumn("_bucket", F.floor(F.col("_h") / 32768)).join(F.broadcast(held), "_bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_h % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr("cast(_h % 8 as int)")
-    return d.withColumn(name, F.coalesce(F.getbit(byte.cast("int"), bit) == 1, F.lit(False))).drop("_h", "_bucket", "_bits")
+    bucket = F.floor(F.col("h") / 32768)
+    held = ids.where("doc_id is not null").select(at("doc_id").alias("h")).groupBy(bucket.alias("bucket")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits"))
+    d = docs.select(F.struct("*").alias("row"), at("doc_id").alias("h")).withColumn("bucket", bucket).join(F.broadcast(held), "bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(h % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return d.select("row", F.coalesce(F.getbit(byte, F.expr("cast(h % 8 as int)")) == 1, F.lit(False)).alias("may"))
 
 
 # -- text kernels ------------------------------------------------------------------------------------------------------
@@ -159,4 +163,28 @@ def shingle_set(data: bytes, width: int = 5) -> np.ndarray:
     return np.unique(mix(h))
 
 
+# -- what Python workers keep ------------------------------------------------------------------------------------------
+
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make):
+    """make(), kept in this Python worker for the tasks that follow and ask for the same key. Only the last one is kept,
+    and the memory of what was before is given back, so that workers that serve one operator after another stay small."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Gives back what held() and the kernels keep, and what allocators hold in reserve."""
+    _HELD.clear()
+    _POWERS.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import fold
+from vertexloom.llm.common import fold, held
 
 UNKNOWN = "und"
 
@@ -160,9 +160,6 @@ def sample(docs: DataFrame, bounds: Bounds = Bounds()) -> dict[str, list[str]]:
     return out
 
 
-_MADE: dict[int, Model] = {}
-
-
 def predictor(samples: dict[str, list[str]], bounds: Bounds = Bounds()):
     """A column function text -> struct(lang_pred, score, rate); null counts as empty."""
     token = hash(str(sorted(samples.items())))
@@ -171,11 +168,9 @@ def predictor(samples: dict[str, list[str]], bounds: Bounds = Bounds()):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from vertexloom.llm.tokens import _slices
 
-        if token not in _MADE:
-            _MADE.clear()
-            _MADE[token] = Model(samples, bounds)
+        model = held(("languages", token, bounds), lambda: Model(samples, bounds))
         for texts in batches:
-            parts = [_MADE[token].predict(part) for part in _slices(texts)]
+            parts = [model.predict(part) for part in _slices(texts, 1 << 19)]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": [], "rate": []})
 
     return predict
