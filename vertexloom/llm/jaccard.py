@@ -341,7 +341,7 @@ def verify(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) whose texts link. Texts of the documents that occur in pairs are shuffled to the pairs' smaller
     document, and meet the other's there; sets are compared whole, as 64-bit hashes."""
     occur = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "occur")
-    texts = may_hold(docs, occur).where("may").drop("may").join(occur, "doc_id", "left_semi")
+    texts = may_hold(docs, occur).where("may").select("row.*").join(occur, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
