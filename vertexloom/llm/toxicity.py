@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import Words, fold
+from vertexloom.llm.common import Words, fold, held
 from vertexloom.llm.tokens import _slices
 
 #: Groups of terms that name people by who they are; terms of one line are swapped for each other.
@@ -36,12 +36,13 @@ IDENTITY_TERMS = (
 @dataclass(frozen=True)
 class Bounds:
     """per_class: so many labelled documents of each label, those with the lowest hash, are learned from. features: so
-    many are kept, the most telling ones met in at least `least` documents. heads: words also count by their first bytes.
-    fairness and decay weigh the penalties."""
+    many are kept, the most telling ones met in at least `least` documents, whose chi-squared with the label is at least
+    `sure`. heads: words also count by their first bytes. fairness and decay weigh the penalties."""
 
     per_class: int = 3000
     features: int = 1024
     least: int = 4
+    sure: float = 11.0
     heads: tuple[int, ...] = (4, 6)
     fairness: float = 1.0
     decay: float = 3e-4
@@ -105,7 +106,7 @@ def _known(texts: list[str], hashes: np.ndarray, heads: tuple[int, ...]) -> tupl
 
 
 def fit(texts: list[str], toxic: list[int], share: float, bounds: Bounds = Bounds()) -> Model:
-    """share: of label 1 among the labelled rows, the score of all texts where nothing can be learned. Minimises log loss + decay * |w|^2 + fairness * mean (w x - w x')^2 over the sentences x with an identity term and
+    """share: of label 1 among the labelled rows, the score of all texts where nothing can be learned. Both labels weigh alike. Minimises log loss + decay * |w|^2 + fairness * mean (w x - w x')^2 over the sentences x with an identity term and
     their counterfactuals x'. With one label only, or none, every score is that label's share.
     """
     y = np.array(toxic, float)
@@ -126,7 +127,9 @@ def fit(texts: list[str], toxic: list[int], share: float, bounds: Bounds = Bound
     n1 = np.bincount(code, weights=y[at], minlength=len(hashes))
     n = np.bincount(code, minlength=len(hashes))
     p1, p0 = (n1 + 0.5) / (y.sum() + 1), (n - n1 + 0.5) / ((1 - y).sum() + 1)
-    telling = np.where(n >= bounds.least, np.abs(np.log(p1 / p0)) * np.abs(p1 - p0), 0.0)
+    share_of = n / len(y)
+    chi = len(y) * (n1 / y.sum() - share_of) ** 2 * (y.sum() / len(y)) / np.maximum(share_of * (1 - share_of) * (1 - y.sum() / len(y)), 1e-12)
+    telling = np.where((n >= bounds.least) & (chi >= bounds.sure), np.abs(np.log(p1 / p0)) * np.abs(p1 - p0), 0.0)
     names = np.unique(np.concatenate([features([t], ())[1] for line in IDENTITY_TERMS for t in line]))
     telling[np.isin(hashes, names) & (n > 0)] += 1e3  # identity terms are always among them, to be held down
     kept = np.sort(np.argsort(-telling, kind="stable")[: bounds.features])
@@ -143,10 +146,11 @@ def fit(texts: list[str], toxic: list[int], share: float, bounds: Bounds = Bound
     d_cols = np.concatenate([cols[own], c_cols])
     d_sign = np.concatenate([np.ones(int(own.sum())), -np.ones(len(c_rows))])
     w, bias, m = np.zeros(len(hashes)), 0.0, len(y)
+    each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (m - y.sum()))
     mom, var = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1)
     for t in range(1, bounds.rounds + 1):
         z = bias + np.bincount(rows, weights=w[cols], minlength=m)
-        g = (1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - y) / m
+        g = (1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - y) * each
         grad = np.append(np.bincount(cols, weights=g[rows], minlength=len(w)) + 2 * bounds.decay * w / math.sqrt(len(w)), g.sum())
         if swapped:
             gap = np.bincount(d_rows, weights=w[d_cols] * d_sign, minlength=len(swapped))
@@ -184,8 +188,9 @@ def scorer(model: Model):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held("toxicity", lambda: model)
         for texts in batches:
-            yield pd.Series([x for part in _slices(texts) for x in model.score(part)], dtype="float64")
+            yield pd.Series([x for part in _slices(texts, 1 << 17) for x in model.score(part)], dtype="float64")
 
     return score
 
