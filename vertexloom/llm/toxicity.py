@@ -106,8 +106,9 @@ def _known(texts: list[str], hashes: np.ndarray, heads: tuple[int, ...]) -> tupl
 
 
 def fit(texts: list[str], toxic: list[int], share: float, bounds: Bounds = Bounds()) -> Model:
-    """share: of label 1 among the labelled rows, the score of all texts where nothing can be learned. Both labels weigh alike. Minimises log loss + decay * |w|^2 + fairness * mean (w x - w x')^2 over the sentences x with an identity term and
-    their counterfactuals x'. With one label only, or none, every score is that label's share.
+    """share: of label 1 among the labelled rows; the score of all texts where nothing can be learned. In the fit both
+    labels weigh alike, then the bias is moved to that share. Minimises log loss + decay * |w|^2 + fairness * mean
+    (w x - w x')^2 over the sentences x with an identity term and their counterfactuals x'. With one label only, or none, every score is that label's share.
     """
     y = np.array(toxic, float)
     share = min(max(share, 1e-4), 1 - 1e-4)
@@ -159,7 +160,7 @@ def fit(texts: list[str], toxic: list[int], share: float, bounds: Bounds = Bound
         step = 0.05 * (mom / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.999**t)) + 1e-9)
         w -= step[:-1]
         bias -= step[-1]
-    return Model(hashes, w, bias, bounds.heads)
+    return Model(hashes, w, bias + prior, bounds.heads)
 
 
 def _known_all(texts: list[str], hashes: np.ndarray, heads: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
