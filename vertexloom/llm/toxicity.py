@@ -46,7 +46,7 @@ class Bounds:
     heads: tuple[int, ...] = (4, 6)
     fairness: float = 1.0
     decay: float = 3e-4
-    rounds: int = 400
+    rounds: int = 1000
 
 
 def features(texts: list[str], heads: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
