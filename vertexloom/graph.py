@@ -77,10 +77,11 @@ class Graph:
 
     @cached_property
     def prepared(self) -> DataFrame:
-        """with_degree() written once to the shared folder, partitioned by src: rounds of a loop read it unshuffled."""
+        """with_degree() written once to the shared folder, partitioned by src and sorted in its partitions: rounds of a
+        loop read it as it lies, from memory where it fits. What is lost there is read from the folder again."""
         e = self.edges.repartition(self.partitions, "src")
         d = e.groupBy("src").agg(F.count("*").alias("degree"))
-        return checkpointed(e.join(d.hint("shuffle_hash"), "src").select("src", "dst", "degree"))
+        return checkpointed(e.join(d, "src").select("src", "dst", "degree").sortWithinPartitions("src")).persist()
 
     @cached_property
     def spread(self) -> DataFrame:
@@ -88,7 +89,13 @@ class Graph:
         at = F.pmod(F.xxhash64("dst"), F.coalesce("spread", F.lit(1)).cast("long")).cast("int")
         e = self.with_degree().join(F.broadcast(self.hubs), "src", "left")  # fewer rows than partitions
         e = e.select("src", at.alias("place"), "dst", "degree")
-        return checkpointed(e.repartition(self.partitions, "src", "place"))
+        return checkpointed(e.repartition(self.partitions, "src", "place").sortWithinPartitions("src", "place")).persist()
+
+    def unpersist(self) -> None:
+        """Frees the memory that prepared edges take; they are read from the shared folder from then on."""
+        for name in ("prepared", "spread"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
 
     @cached_property
     def has_hubs(self) -> bool:
