@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import cut
+from vertexloom.llm.common import cut, trimmed
 from vertexloom.llm.tokens import crc_of, word_encoder
 from vertexloom.llm.tokenfile import _runs
 
@@ -206,7 +206,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int =
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), schema)
 
 
 def pack_pieces(pieces: DataFrame, room: int = 4096) -> DataFrame:
@@ -235,7 +235,7 @@ def pack_pieces(pieces: DataFrame, room: int = 4096) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return d.select(*names, (F.col("first") + F.col("rank")).alias("rank")).mapInArrow(run, schema)
+    return d.select(*names, (F.col("first") + F.col("rank")).alias("rank")).mapInArrow(trimmed(run), schema)
 
 
 def pack_query(docs: DataFrame, tokenizer: str, room: int = 4096) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import cut, mix
+from vertexloom.llm.common import cut, mix, trimmed
 from vertexloom.llm.tokens import crc_of, word_encoder
 
 BLOCK_IDS = 1 << 18
@@ -160,7 +160,7 @@ def write_container(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFra
                        *((c, pa.binary()) for c in ("payload", "keys", "seeds", "prints", "slots"))])
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = d.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
-    return cut(ordered.mapInArrow(run, SCHEMA), "tokens")
+    return cut(ordered.mapInArrow(trimmed(run), SCHEMA), "tokens")
 
 
 def _runs(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
@@ -198,7 +198,7 @@ def read_container(container: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(place + b.start + base[row["part"]]), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     cols = [c for c in container.columns if c not in ("first", "last")]
-    return container.select(cols).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return container.select(cols).mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(container: DataFrame, doc_ids: list[int], repetition: int = 0) -> DataFrame:
@@ -216,7 +216,7 @@ def lookup(container: DataFrame, doc_ids: list[int], repetition: int = 0) -> Dat
                 keep = place >= 0
                 yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array([b.payload[p : p + k].astype(np.int64) for p, k in zip(place[keep], n[keep])], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return container.where(hit).mapInArrow(run, "doc_id long, ids array<long>")
+    return container.where(hit).mapInArrow(trimmed(run), "doc_id long, ids array<long>")
 
 
 def token_file_query(docs: DataFrame, tokenizer: str) -> DataFrame:

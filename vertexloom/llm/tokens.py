@@ -43,10 +43,10 @@ class WordEncoder:
 
     That holds where the pre-tokenizer drops white space and nothing else joins words, as in word_bpe_49k.json; then a
     text's ids are those of its white-space-separated words one after the other, and each distinct word need be encoded
-    once. The words met are kept, up to `most` of them, then forgotten together.
+    once. The words met are kept, up to `most` of them; then all are forgotten but those that came again just then.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.tokenizer, self.most = load(path), most
         with open(path, encoding="utf-8") as f:
             suffix = json.load(f)["model"].get("end_of_word_suffix")
@@ -55,12 +55,19 @@ class WordEncoder:
         if suffix:
             self.end_of_word = np.zeros(1 + max(vocabulary.values()), bool)
             self.end_of_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self._forget()
-
-    def _forget(self) -> None:
         self.at: dict[str, int] = {}
         self.lengths, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _keep(self, words: list[str], known: np.ndarray) -> None:
+        """Forgets all but those of the given words that were known, at the places `known`, which are made anew."""
+        old = np.flatnonzero(known >= 0)
+        n, first = self.lengths[known[old]], self.starts[known[old]]
+        ends = np.cumsum(n)
+        self.ids = self.ids[np.repeat(first - (ends - n), n) + np.arange(int(n.sum()))]
+        self.lengths, self.starts = n, ends - n
+        self.at = {words[i]: k for k, i in enumerate(old.tolist())}
+        known[old] = np.arange(len(old))
+
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if _PLAIN.fullmatch(w)] if self.end_of_word is not None else []
         rest = [w for w in words if not _PLAIN.fullmatch(w)] if plain else words
@@ -94,10 +101,9 @@ class WordEncoder:
         distinct = coded.dictionary.to_pylist()
         known = np.fromiter((self.at.get(w, -1) for w in distinct), np.int64, len(distinct))
         new = np.flatnonzero(known < 0)
+        if len(self.at) + len(new) > self.most:
+            self._keep(distinct, known)
         if len(new):
-            if len(self.at) + len(new) > self.most:
-                self._forget()
-                new = np.arange(len(distinct))
             self._learn([distinct[i] for i in new])
             known[new] = np.fromiter((self.at[distinct[i]] for i in new), np.int64, len(new))
         k = known[coded.indices.to_numpy(zero_copy_only=False)]
@@ -136,7 +142,7 @@ class UnitCounter:
     white space (or the end) is one too. These places are proven stable: units between them can be counted apart.
     """
 
-    def __init__(self, tokenizer, most: int = 800_000):
+    def __init__(self, tokenizer, most: int = 300_000):
         self.tokenizer, self.most, self.known = tokenizer, most, {}
         self.line_feed = len(tokenizer.encode("\n", add_special_tokens=False).ids)
 
@@ -153,8 +159,8 @@ class UnitCounter:
         new = np.flatnonzero(n < 0)
         if len(new):
             n[new] = np.fromiter(map(len, self.tokenizer.encode_batch_fast([distinct[i] for i in new], add_special_tokens=False)), np.int64, len(new))
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
+            if len(self.known) + len(new) > self.most:  # keep those that came again just now
+                self.known = {u: self.known[u] for u in distinct if u in self.known}
             self.known.update(zip([distinct[i] for i in new], n[new].tolist()))
         total = np.concatenate([[0], np.cumsum(n[coded.indices.to_numpy(zero_copy_only=False)])])
         ends = np.cumsum(each)
