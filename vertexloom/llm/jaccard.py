@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import components, cut, drop_cut, may_hold, mix, shingle_set
+from vertexloom.llm.common import components, cut, drop_cut, held, may_hold, mix, shingle_set, trimmed
 
 #: Size of the subsets that light sets enumerate.
 K = 2
@@ -77,9 +77,9 @@ def _sum_counters(rows: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary())], ["chunk", "salt", "part"])
 
     schema = "chunk int, salt int, part binary"
-    once = rows.repartition("chunk", "salt").mapInArrow(add, schema).withColumn("salt", F.lit(0))
+    once = rows.repartition("chunk", "salt").mapInArrow(trimmed(add), schema).withColumn("salt", F.lit(0))
     out = np.zeros(size, np.int64)
-    for r in once.repartition("chunk").mapInArrow(add, schema).collect():  # counters of fixed size
+    for r in once.repartition("chunk").mapInArrow(trimmed(add), schema).collect():  # counters of fixed size
         v = np.frombuffer(r.part, "<i8")
         out[r.chunk * len(v) : (r.chunk + 1) * len(v)] += v
     return out
@@ -90,19 +90,20 @@ def describe(docs: DataFrame, p: Params) -> DataFrame:
     salt, part) with the counters of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("jaccard", lambda: None)
         counters = np.zeros(p.counters, np.int64)
         for batch in batches:
             n, d1, d2 = [], [], []
-            held = []
+            hashes = []
             for x in batch.column("text"):
                 s = shingle_set((x.as_py() or "").encode("utf-8"), p.width)
                 n.append(len(s))
                 a, b = digest(s)
                 d1.append(a)
                 d2.append(b)
-                held.append(s & np.uint64(p.counters - 1))
-            if held:
-                counters += np.bincount(np.concatenate(held).astype(np.int64), minlength=p.counters)
+                hashes.append(s & np.uint64(p.counters - 1))
+            if hashes:
+                counters += np.bincount(np.concatenate(hashes).astype(np.int64), minlength=p.counters)
             m = len(n)
             none = [pa.nulls(m, t) for t in (pa.int32(), pa.int32(), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *none], names)
@@ -114,7 +115,7 @@ def describe(docs: DataFrame, p: Params) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*none, pa.array([c for c, _ in parts], pa.int32()), pa.array([task % 16] * len(parts), pa.int32()), pa.array([v for _, v in parts], pa.binary())], names)
 
     names = ["doc_id", "n", "d1", "d2", "chunk", "salt", "part"]
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, chunk int, salt int, part binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n long, d1 long, d2 long, chunk int, salt int, part binary")
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -193,7 +194,7 @@ def heads(docs: DataFrame, classes: np.ndarray, p: Params) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
     names = ["doc_id", "n", "d1", "d2", "least", "head", "bits", "cost"]
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, least binary, head binary, bits binary, cost double")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n long, d1 long, d2 long, least binary, head binary, bits binary, cost double")
 
 
 def boundary(sets: DataFrame, p: Params) -> int:
@@ -228,7 +229,7 @@ def entries(sets: DataFrame, x: int | None, p: Params) -> DataFrame:
     arrow = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("first", pa.bool_()), ("scan", pa.bool_()), ("comp", pa.int64()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
             sig, first, scan, count = [], [], [], []
             for n, data in zip(batch.column("n").to_pylist(), batch.column("head").to_pylist()):
                 s = np.frombuffer(data, np.uint64)
@@ -256,7 +257,7 @@ def entries(sets: DataFrame, x: int | None, p: Params) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     head, bits = ("least", F.col("bits")) if x is None else ("head", F.lit(None).cast("binary"))
-    return sets.select("doc_id", "n", F.col(head).alias("head"), "comp", bits.alias("bits")).mapInArrow(run, ENTRY)
+    return sets.select("doc_id", "n", F.col(head).alias("head"), "comp", bits.alias("bits")).mapInArrow(trimmed(run), ENTRY)
 
 
 def stars(listed: DataFrame, x: int, pivots: int, p: Params) -> DataFrame:
@@ -314,7 +315,7 @@ def stars(listed: DataFrame, x: int, pivots: int, p: Params) -> DataFrame:
             seen = int(place[-1]) + 1
 
     order = listed.repartition("sig").sortWithinPartitions("sig", F.xxhash64("doc"), "doc")
-    return order.mapInArrow(run, "a long, b long, sig long, doc long, n long, first boolean, scan boolean")
+    return order.mapInArrow(trimmed(run), "a long, b long, sig long, doc long, n long, first boolean, scan boolean")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
@@ -334,7 +335,7 @@ def possible(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     left = own.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x"))
     right = own.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y"))
     d = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("n"))
-    return d.mapInArrow(run, "a long, b long")
+    return d.mapInArrow(trimmed(run), "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
@@ -360,7 +361,7 @@ def verify(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, params: Params = Params()) -> DataFrame:
