@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import components, cut
+from vertexloom.llm.common import components, cut, trimmed
 
 
 @dataclass(frozen=True)
@@ -92,42 +92,54 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _pairs(rows: dict, p: Params, bucket: tuple) -> Iterator[np.ndarray]:
-    """Verified links (i, j) of one block whose pair is to be counted here: index arrays of shape [2, m].
+def _met(rows: dict, i: np.ndarray, j: np.ndarray, p: Params) -> np.ndarray:
+    """Those of the linked pairs (i, j) of rows that are to be counted where they are now: indices of shape [2, m].
 
     A pair that meets in several buckets is counted in the first table where it meets, there in the bucket both are at
     home in, or else in the lower of the two.
     """
-    x, home_here, part = rows["x"], rows["home"], rows["part"]
-    table, number, p_lo, p_hi = bucket
-    left = np.flatnonzero(part == p_lo)
-    right = left if p_lo == p_hi else np.flatnonzero(part == p_hi)
-    if len(left) == 0 or len(right) == 0:
-        return
-    cos = x[left] @ x[right].T
-    i, j = np.nonzero(cos >= p.least)
-    i, j = left[i], right[j]
-    keep = (i < j) if p_lo == p_hi else np.ones(len(i), bool)
-    keep &= (home_here[i] | home_here[j]) & (rows["vec_id"][i] != rows["vec_id"][j])
+    keep = (rows["home"][i] | rows["home"][j]) & (rows["vec_id"][i] != rows["vec_id"][j])
     i, j = i[keep], j[keep]
-    if not len(i):
-        return
-    own = np.unique(np.concatenate([i, j]))
-    home, probes = codes(x[own], p)
-    a, b = np.searchsorted(own, i), np.searchsorted(own, j)
-    for lo in range(0, len(a), 65536):
-        a_, b_ = a[lo : lo + 65536], b[lo : lo + 65536]
-        same = home[a_] == home[b_]
-        into_b = (probes[a_] == home[b_][:, :, None]).any(axis=2)
-        into_a = (probes[b_] == home[a_][:, :, None]).any(axis=2)
-        met = same | into_a | into_b
-        first = met.argmax(axis=1) == table
-        ha, hb = home[a_, table], home[b_, table]
-        big = np.iinfo(np.int64).max
-        place = np.where(same[:, table], ha, np.minimum(np.where(into_a[:, table], ha, big), np.where(into_b[:, table], hb, big)))
-        ok = first & (place == number)
-        if ok.any():
-            yield np.stack([own[a_[ok]], own[b_[ok]]])
+    found = [np.zeros((2, 0), np.int64)]
+    big = np.iinfo(np.int64).max
+    for lo in range(0, len(i), 65536):
+        i_, j_ = i[lo : lo + 65536], j[lo : lo + 65536]
+        own = np.unique(np.concatenate([i_, j_]))
+        home, probes = codes(rows["x"][own], p)
+        a, b, t, m = np.searchsorted(own, i_), np.searchsorted(own, j_), rows["t"][i_], np.arange(len(i_))
+        same = home[a] == home[b]
+        into_b = (probes[a] == home[b][:, :, None]).any(axis=2)
+        into_a = (probes[b] == home[a][:, :, None]).any(axis=2)
+        first = (same | into_a | into_b).argmax(axis=1) == t
+        ha, hb = home[a, t], home[b, t]
+        place = np.where(same[m, t], ha, np.minimum(np.where(into_a[m, t], ha, big), np.where(into_b[m, t], hb, big)))
+        ok = first & (place == rows["number"][i_])
+        found.append(np.stack([i_[ok], j_[ok]]))
+    return np.concatenate(found, axis=1)
+
+
+def _in_block(rows: dict, lo: int, hi: int, p: Params) -> np.ndarray:
+    """Links between part lo and part hi of a bucket."""
+    left = np.flatnonzero(rows["part"] == lo)
+    right = left if lo == hi else np.flatnonzero(rows["part"] == hi)
+    i, j = np.nonzero(rows["x"][left] @ rows["x"][right].T >= p.least)
+    i, j = left[i], right[j]
+    keep = (i < j) if lo == hi else np.ones(len(i), bool)
+    return _met(rows, i[keep], j[keep], p)
+
+
+def _in_groups(rows: dict, group: np.ndarray, p: Params) -> np.ndarray:
+    """Links within many small groups at once; group ascends. Rows are compared with those 1, 2, ... places on."""
+    found, n, d = [], len(group), 1
+    while d < n:
+        i = np.flatnonzero(group[:-d] == group[d:])
+        if not len(i):
+            break
+        i = i[np.einsum("ij,ij->i", rows["x"][i], rows["x"][i + d]) >= p.least]
+        found.append(np.stack([i, i + d]))
+        d += 1
+    i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return _met(rows, i, j, p)
 
 
 def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -182,9 +194,9 @@ def near_duplicates(vectors: DataFrame, params: Params = Params()) -> DataFrame:
                 out = part.take(pa.array(own))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), dim, np.int32)), pa.array(table.astype(np.int32)), pa.array(number), pa.array(at_home), out.column("rep"), out.column("copies"), out.column("e")], ["dim", "t", "number", "home", "vec_id", "copies", "e"])
 
-    entries = classes.select("rep", "copies", "e").mapInArrow(enter, "dim int, t int, number long, home boolean, vec_id long, copies long, e array<float>")
+    entries = classes.select("rep", "copies", "e").mapInArrow(trimmed(enter), "dim int, t int, number long, home boolean, vec_id long, copies long, e array<float>")
     bucket = ["dim", "t", "number"]
-    light = classes.select("rep", "copies", "e").mapInArrow(enter, "dim int, t int, number long, home boolean, vec_id long, copies long, e array<float>").select(*bucket)
+    light = classes.select("rep", "copies", "e").mapInArrow(trimmed(enter), "dim int, t int, number long, home boolean, vec_id long, copies long, e array<float>").select(*bucket)
     full = light.groupBy(*bucket).count().where(F.col("count") > params.block).select(*bucket, F.ceil(F.col("count") / params.block).cast("int").alias("parts"))
     entries = entries.join(full, bucket, "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("vec_id"), F.col("parts").cast("long"))).cast("int"))
     others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -192,23 +204,39 @@ def near_duplicates(vectors: DataFrame, params: Params = Params()) -> DataFrame:
     blocks = blocks.select(*bucket, "home", "vec_id", "copies", "e", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
     key = [*bucket, "lo", "hi"]
 
+    def columns(block: pa.RecordBatch, dim: int) -> dict:
+        out = {c: block.column(c).to_numpy(zero_copy_only=False) for c in ("t", "number", "home", "part", "vec_id", "copies")}
+        return out | {"x": _unit(matrix(block.column("e"), dim))}
+
+    def told(r: dict, pairs: np.ndarray) -> pa.RecordBatch:
+        """For each row its links and an edge to the smallest row it is joined to; rows without links are left out."""
+        size = len(r["vec_id"])
+        n = np.bincount(pairs[0], weights=r["copies"][pairs[1]], minlength=size) + np.bincount(pairs[1], weights=r["copies"][pairs[0]], minlength=size)
+        hit, root = np.flatnonzero(n), _roots(size, pairs)
+        return pa.RecordBatch.from_arrays([pa.array(r["vec_id"][hit]), pa.array(r["vec_id"][root[hit]]), pa.array(n[hit].astype(np.int64))], ["a", "b", "n"])
+
+    def together(blocks_: list[pa.RecordBatch], dim: int) -> pa.RecordBatch:
+        r = columns(pa.Table.from_batches(blocks_).combine_chunks().to_batches()[0], dim)
+        group = np.repeat(np.arange(len(blocks_)), [b.num_rows for b in blocks_])
+        return told(r, _in_groups(r, group, sized[dim]))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, block in grouped(batches, key):
-            if block.num_rows < 2:
-                continue
-            dim, table, number, lo, hi = k
-            r = {"x": _unit(matrix(block.column("e"), dim)), "home": block.column("home").to_numpy(zero_copy_only=False), "part": block.column("part").to_numpy(zero_copy_only=False), "vec_id": block.column("vec_id").to_numpy(zero_copy_only=False)}
-            found = list(_pairs(r, sized[dim], (table, number, lo, hi)))
-            if not found:
-                continue
-            pairs = np.concatenate(found, axis=1)
-            copies = block.column("copies").to_numpy(zero_copy_only=False)
-            n = np.bincount(pairs[0], weights=copies[pairs[1]], minlength=block.num_rows) + np.bincount(pairs[1], weights=copies[pairs[0]], minlength=block.num_rows)
-            hit = np.flatnonzero(n)
-            root = _roots(block.num_rows, pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(r["vec_id"][hit]), pa.array(r["vec_id"][root[hit]]), pa.array(n[hit].astype(np.int64))], ["a", "b", "n"])
-
-    links = cut(blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long, n long"), "links")
+        few, size, of = [], 0, 0  # small groups wait until there are enough to be compared at once
+        for (dim, _, _, lo, hi), block in grouped(batches, key):
+            if few and (of != dim or size > 4096):
+                yield together(few, of)
+                few, size = [], 0
+            if 1 < block.num_rows <= 64 and lo == hi:
+                few.append(block)
+                size += block.num_rows
+                of = dim
+            elif block.num_rows > 1:
+                r = columns(block, dim)
+                yield told(r, _in_block(r, lo, hi, sized[dim]))
+        if few:
+            yield together(few, of)
+
+    links = cut(blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(trimmed(compare), "a long, b long, n long"), "links")
     joined = components(links)
     count = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     member = valid.join(classes, "e").select("vec_id", "rep", "copies")
