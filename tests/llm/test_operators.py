@@ -362,13 +362,25 @@ def test_toxicity(spark, sf, odd, none):
     held = [i for i in y if got[i].held_out]
     assert set(held) == {i for i in y if zlib.crc32(str(i).encode()) % 5 == 0}
     assert np.mean([got[i].predicted == y[i] for i in held]) > 0.98
-    assert np.mean([got[i].predicted for i in held if y[i]]) > 0.84
+    assert np.mean([got[i].predicted for i in held if y[i]]) > 0.9
     some = spark.createDataFrame([(1, 1), (2, 0), (99, 1), (None, 1), (3, None)], "doc_id long, toxic int")
     assert toxicity_query(odd, some).count() == len(ODD)
     assert toxicity_query(odd, some.where("false")).count() == len(ODD)
     assert toxicity_query(none, some).count() == 0
 
 
+def test_toxicity_bias_follows_folds():
+    """Texts of rare toxic words are found at score 0.5; where nothing tells labels apart, others aren't called toxic."""
+    plain = [f"tea and bread {k} on a {'fine' if k % 2 else 'grey'} day" for k in range(400)]
+    toxic = [f"tea and {'scum' if k % 4 else 'rot' + str(k % 3)} {k + 1000} on a fine day" for k in range(40)]
+    y = [0] * len(plain) + [1] * len(toxic)
+    model = fit(plain + toxic, y, 0.1)
+    fresh = [f"tea and {w} {9000 + k} on a fine day" for k, w in enumerate(["scum", "rot0", "rot1", "rot2"])]
+    assert (model.score(fresh) >= 0.5).all() and (model.score(plain) < 0.5).all()
+    same = [f"tea and bread {k + 1000} on a {'fine' if k % 2 else 'grey'} day" for k in range(40)]
+    assert (fit(plain + same, y, 0.1).score(plain) >= 0.5).mean() <= 0.03
+
+
 def test_counterfactuals_hold_identity_terms_down():
     toxic = [f"those women are scum and trash {k} x{k % 7}" for k in range(60)]
     clean = [f"the men went to the market {k} x{k % 5}" for k in range(60)] + ["a group of men talked"] * 20
