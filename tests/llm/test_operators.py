@@ -130,6 +130,23 @@ def test_jaccard_join(spark, docs, odd, none, params):
     assert jaccard_components(none, params).count() == 0
 
 
+def test_jaccard_links(spark, odd, none):
+    """Every link counts, also within groups of near copies whose component is known early."""
+    group = [(1000 + i, " ".join([f"g{k}" for k in range(60)] + [f"own{i}"])) for i in range(30)]
+    for rows in (rows_of(odd), near_copies(300, 1) + group):
+        sets, want = [shingles(t) for _, t in rows], Counter()
+        for x in range(len(rows)):
+            for y in range(x):
+                both = len(sets[x] & sets[y])
+                if None not in (rows[x][0], rows[y][0]) and both and 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                    want[x] += 1
+                    want[y] += 1
+        got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect()
+        assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == sorted(((i, want[k]) for k, (i, _) in enumerate(rows)), key=str)
+        assert sorted((tuple(r)[:3] for r in got), key=str) == brute_jaccard(rows)
+    assert jaccard_components(none, links=True).count() == 0
+
+
 def test_shingle_hashes_follow_words():
     rows = near_copies(300, 5)
     seen = {}

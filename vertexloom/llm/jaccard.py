@@ -364,22 +364,25 @@ def verify(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(run), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
+def jaccard_components(docs: DataFrame, params: Params = Params(), links: bool = False) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id) for every row of docs (doc_id, text), and n_links where links are asked for.
 
     A document's set: the distinct shingles of its whole text; two documents link when den * |A and B| >= num * |A or B|.
     component_id is the smallest doc_id reachable by links. Null and empty texts, and texts without words, have no
     shingle and link with nothing; so do rows without an id (component_id null). Rows with equal sets are one class,
     joined to its smallest id without being compared. Rows that repeat an id with other texts count as one document where
     both represent their class. Extra columns are ignored, an empty table gives no rows.
+
+    n_links: how many other rows a row links with. For it no candidate pair of classes is left out because its sets are in
+    one component already, so lists are worked off whole: a group of near copies costs all its pairs. Copies are counted.
     """
-    p = params
+    p, counted = params, links
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = cut(describe(docs, p), "described")
     light = seen.where("n is not null").select("doc_id", "n", "d1", "d2")
     classes = frequency_class(_sum_counters(seen.where("chunk is not null").select("chunk", "salt", "part"), p.counters))
     made = heads(docs, classes, p).groupBy("d1", "d2")
-    sets = cut(made.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cost").alias("cost"), F.first("least").alias("least"), F.first("head").alias("head"), F.first("bits").alias("bits")), "sets")
+    sets = cut(made.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cost").alias("cost"), F.first("least").alias("least"), F.first("head").alias("head"), F.first("bits").alias("bits"), *([F.count("*").alias("copies")] if counted else [])), "sets")
     x = boundary(sets, p)
     # round 0: the few least hashes join most of what is nearly equal
     own = sets.withColumn("comp", F.col("doc_id"))
@@ -387,7 +390,8 @@ def jaccard_components(docs: DataFrame, params: Params = Params()) -> DataFrame:
     links = cut(verify(cut(star.where("a is not null").select("a", "b").distinct(), "pairs"), docs, p), "links")
     drop_cut(star)
     comp = cut(components(links), "components")
-    listed = entries(_labelled(sets, "doc_id", comp), x, p)
+    known = comp.where("false") if counted else comp  # components that lists may be left for
+    listed = entries(_labelled(sets, "doc_id", known), x, p)
     pivots, rest = p.pivots, None
     while True:
         star = cut(stars(listed, x, pivots, p), "stars")
@@ -396,7 +400,8 @@ def jaccard_components(docs: DataFrame, params: Params = Params()) -> DataFrame:
         links = links.unionByName(new)
         if not new.isEmpty():
             comp = cut(components(links), "components")
-        left = _labelled(star.where("sig is not null").select("sig", "doc", "n", "first", "scan"), "doc", comp)
+            known = known if counted else comp
+        left = _labelled(star.where("sig is not null").select("sig", "doc", "n", "first", "scan"), "doc", known)
         open_ = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
         left = left.join(open_, "sig", "left_semi").join(sets.select(F.col("doc_id").alias("doc"), "bits"), "doc")
         left = cut(left.select("sig", "doc", "n", "first", "scan", "comp", "bits"), "rest")
@@ -408,10 +413,24 @@ def jaccard_components(docs: DataFrame, params: Params = Params()) -> DataFrame:
         listed, rest, pivots = left, left, pivots * p.more
     # every row to its class, and the class to its component
     joined = sets.select("d1", "d2", F.col("doc_id").alias("rep")).join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    joined = joined.select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    extra = []
+    if counted:
+        joined = joined.join(_linked(sets, links), "rep", "left")
+        extra = [F.col("n_links")]
+    joined = joined.select("d1", "d2", F.coalesce("component", "rep").alias("component"), *extra)
     out = light.join(joined, ["d1", "d2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    extra = [F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links")] if counted else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), *extra)
+
+
+def _linked(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (rep, n_links): with how many other rows each row of a class links, those of its own class among them."""
+    copies = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("copies").alias("copies"))
+    once = links.distinct()
+    ends = once.select(F.col("a").alias("id"), F.col("b").alias("rep")).unionByName(once.select(F.col("b").alias("id"), F.col("a").alias("rep")))
+    others = ends.join(copies, "rep").groupBy(F.col("id").alias("rep")).agg(F.sum("copies").alias("others"))
+    return copies.join(others, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
 
 
 def _labelled(rows: DataFrame, doc: str, comp: DataFrame) -> DataFrame:
