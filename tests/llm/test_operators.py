@@ -23,7 +23,7 @@ from vertexloom.llm.neardup import near_duplicates
 from vertexloom.llm.packing import Layout, pack, pack_query
 from vertexloom.llm.sharding import Ring, pieces, shard, shard_query
 from vertexloom.llm.tokenfile import PerfectHash, lookup, read_container, write_container
-from vertexloom.llm.tokens import ResyncCounter, token_count_query
+from vertexloom.llm.tokens import ResyncCounter, WordEncoder, token_count_query
 from vertexloom.llm.tokens import load as load_file
 from vertexloom.llm.toxicity import counterfactual, fit, toxicity_query
 
@@ -219,6 +219,22 @@ def brute_ids(path, text, end):
     return load(path).encode(text or "", add_special_tokens=False).ids + [end]
 
 
+MARKED = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "T\u0344", "J\u0323\u030c", "E\u0301", "SJ\u030cX, A. B"]
+
+
+def test_ids_of_combining_marks(spark):
+    """Letters that compose in lower case only: the tokenizer composes before it lower-cases."""
+    path = Q.tokenizer("word_bpe_49k.json")
+    texts = MARKED + [f"One {x} Two, {x}. <|endoftext|> {x}" for x in MARKED] + [x.lower() for x in MARKED] + [" ".join(MARKED)]
+    assert [x.tolist() for x in WordEncoder(path).encode_all(texts)] == [load(path).encode(t, add_special_tokens=False).ids for t in texts]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for got, end in ((pack_query(d, path), 1), (read_container(write_container(d, path)), 2)):
+        got = {r.doc_id: tuple(r) for r in got.collect()}
+        for i, t in enumerate(texts):
+            ids = brute_ids(path, t, end)
+            assert len(ids) in got[i] and crc(ids) in got[i]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 

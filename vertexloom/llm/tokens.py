@@ -118,10 +118,11 @@ class WordEncoder:
     def _words(texts: list[str | None]) -> pa.Array:
         """Lists of words that the pre-tokenizer treats apart: runs of what isn't U+0009 to U+000D or space. To meet fewer
         distinct ones, A-Z are lower-cased, as the normaliser does, and a full stop or comma after a letter is set apart,
-        as the pre-tokenizer does; not in texts that may hold special strings, which are matched before that."""
+        as the pre-tokenizer does; not in texts that may hold special strings, which are matched before that, and not in
+        texts with combining marks, since the normaliser composes first and some letters compose in lower case only."""
         raw = pc.fill_null(pa.array(texts, pa.large_string()), "")
         plain = pc.replace_substring_regex(pc.ascii_lower(raw), r"([a-z])([,.][ \t\n\r\f\v])", r"\1 \2")
-        return pc.ascii_split_whitespace(pc.if_else(pc.match_substring(raw, "<|"), raw, plain))
+        return pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(raw, r"<\||\p{M}"), raw, plain))
 
 
 # -- counts ------------------------------------------------------------------------------------------------------------
