@@ -287,3 +287,12 @@ def test_query_matches_sql(spark, sf, name):
     want = c.sql(Q.ORACLES[name])
     assert sorted(want.columns) == sorted(d.columns)
     assert rows == sorted(map(repr, want.select(", ".join(f'"{x}"' for x in sorted(want.columns))).fetchall()))
+
+
+def test_whole_tables(spark, sf):
+    """The edges of the queries named whole come from every line item."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey")
+    n, orders = items.count(), items.distinct().count()
+    assert Q.QUERIES["scan_edges_whole"](spark, sf).count() == Q.QUERIES["dump_edges_whole"](spark, sf).count() == n - orders
+    assert Q._labels(spark, sf, True).count() == 1 + Q.QUERIES["max_vertex"](spark, sf).first()[0]
+    assert all("l_quantity >=" not in Q.ORACLES[f"{k}_whole"] and "l_quantity =" not in Q.ORACLES[f"{k}_whole"] for k in Q.WHOLE)

@@ -32,9 +32,11 @@ def cust_part_edges(s: SparkSession, d: str, sparse: bool = False) -> DataFrame:
     return items.select("l_orderkey", "l_partkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
 
 
-def supp_chain_edges(s: SparkSession, d: str) -> DataFrame:
-    """From supplier to supplier of consecutive large line items of an order."""
-    items = _table(s, d, "lineitem").where("l_quantity >= 49")
+def supp_chain_edges(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """From supplier to supplier of consecutive line items of an order: the large ones, or all."""
+    items = _table(s, d, "lineitem")
+    if not whole:
+        items = items.where("l_quantity >= 49")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_suppkey")
     return items.select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(order).alias("dst")).where("dst is not null")
 
@@ -47,8 +49,8 @@ def cust_part_sparse(s: SparkSession, d: str) -> Graph:
     return Graph.from_edges(cust_part_edges(s, d, sparse=True))
 
 
-def supp_chain(s: SparkSession, d: str) -> Graph:
-    return Graph.from_edges(supp_chain_edges(s, d))
+def supp_chain(s: SparkSession, d: str, whole: bool = False) -> Graph:
+    return Graph.from_edges(supp_chain_edges(s, d, whole))
 
 
 _CUST_PART = "SELECT o_custkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
@@ -125,33 +127,33 @@ def _frontier_from_bitmap(s: SparkSession, d: str) -> DataFrame:
     return frontier.from_bitmap(frontier.bitmap(busy(cust_part(s, d))))
 
 
-def _bfs(s: SparkSession, d: str) -> DataFrame:
-    return alg.bfs(supp_chain(s, d), 0)
+def _bfs(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return alg.bfs(supp_chain(s, d, whole), 0)
 
 
-def _peeled(s: SparkSession, d: str) -> DataFrame:
-    return alg.kcore(supp_chain(s, d).make_undirected(), 3)
+def _peeled(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return alg.kcore(supp_chain(s, d, whole).make_undirected(), 3)
 
 
-def _labels(s: SparkSession, d: str) -> DataFrame:
-    return alg.components(cust_part_sparse(s, d).make_undirected())
+def _labels(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return alg.components((cust_part if whole else cust_part_sparse)(s, d).make_undirected())
 
 
-def _rank(s: SparkSession, d: str, chain: bool) -> tuple[DataFrame, int]:
-    return alg.pagerank(supp_chain(s, d) if chain else cust_part(s, d).make_undirected())
+def _rank(s: SparkSession, d: str, chain: bool, whole: bool = False) -> tuple[DataFrame, int]:
+    return alg.pagerank(supp_chain(s, d, whole) if chain else cust_part(s, d).make_undirected())
 
 
 def _rounded(values: DataFrame) -> DataFrame:
     return values.select("id", F.round("value", 6).alias("value"))
 
 
-def _iterations(s: SparkSession, d: str, chain: bool) -> DataFrame:
-    return s.range(1).select(F.lit(_rank(s, d, chain)[1]).cast("long").alias("iterations"))
+def _iterations(s: SparkSession, d: str, chain: bool, whole: bool = False) -> DataFrame:
+    return s.range(1).select(F.lit(_rank(s, d, chain, whole)[1]).cast("long").alias("iterations"))
 
 
-def _sorted(s: SparkSession, d: str) -> DataFrame:
+def _sorted(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """Edges in order with their place: ranks within blocks of sources and sums over the blocks, not one window."""
-    e = supp_chain_edges(s, d)
+    e = supp_chain_edges(s, d, whole)
     block = F.expr("src div 1024")
     base = e.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
     base = base.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("base"))
@@ -193,15 +195,15 @@ def _codec_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return _compressed(s, d).select("src", F.explode(codec.decompress_column("list")).alias("dst"))
 
 
-def _csr(s: SparkSession, d: str, kind: str) -> DataFrame:
+def _csr(s: SparkSession, d: str, kind: str, whole: bool = False) -> DataFrame:
     path = f"{shared_dir(s)}/csr-{uuid.uuid4().hex}"
-    csr.write_csr(supp_chain(s, d) if kind == "raw" else cust_part(s, d), path, kind)
+    csr.write_csr(supp_chain(s, d, whole) if kind == "raw" else cust_part(s, d), path, kind)
     return csr.read_csr(s, path)
 
 
-def _text_roundtrip(s: SparkSession, d: str) -> DataFrame:
+def _text_roundtrip(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
     path = f"{shared_dir(s)}/text-{uuid.uuid4().hex}"
-    edgelist.write_edges(supp_chain_edges(s, d), path)
+    edgelist.write_edges(supp_chain_edges(s, d, whole), path)
     return edgelist.read_edges(s, path)
 
 
@@ -254,6 +256,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dump_edges": lambda s, d: edgelist.edge_lines(supp_chain_edges(s, d)),
 }
 
+#: The queries over a part of the line items, over all of them.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "scan_edges": lambda s, d: _text_roundtrip(s, d, True),
+    "sorted_edges": lambda s, d: _sorted(s, d, True),
+    "make_undirected": lambda s, d: supp_chain(s, d, True).make_undirected().edges,
+    "bfs_levels": lambda s, d: _bfs(s, d, True).select("id", "distance"),
+    "bfs_parents": lambda s, d: _bfs(s, d, True).select("id", "parent"),
+    "bfs_summary": lambda s, d: alg.bfs_summary(_bfs(s, d, True)),
+    "kcore_members": lambda s, d: alg.kcore_members(_peeled(s, d, True), 3),
+    "kcore_summary": lambda s, d: alg.kcore_summary(_peeled(s, d, True), 3).select(F.lit(3).alias("k"), "kth_core_membership"),
+    "cc_labels": lambda s, d: _labels(s, d, True),
+    "cc_sizes": lambda s, d: alg.component_sizes(_labels(s, d, True)),
+    "cc_summary": lambda s, d: alg.components_summary(_labels(s, d, True)),
+    "pagerank_values_chain": lambda s, d: _rounded(_rank(s, d, True, True)[0]),
+    "pagerank_iterations_chain": lambda s, d: _iterations(s, d, True, True),
+    "csr_roundtrip": lambda s, d: _csr(s, d, "raw", True),
+    "dump_edges": lambda s, d: edgelist.edge_lines(supp_chain_edges(s, d, True)),
+}
+QUERIES |= {f"{name}_whole": query for name, query in WHOLE.items()}
+
 _HUBS = "(SELECT id FROM vd WHERE degree > 30)"
 _WIDTH = "CASE WHEN {0} <= 255 THEN 1 WHEN {0} <= 65535 THEN 2 ELSE 4 END"
 _DELTAS = "SELECT src, dst, dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS delta, row_number() OVER (PARTITION BY src ORDER BY dst) AS place FROM e"
@@ -301,3 +323,4 @@ FROM ({_DELTAS}) WHERE place <= 10 GROUP BY src"""),
     "csr_delta_roundtrip": _CUST_PART,
     "dump_edges": f"SELECT src || ' ' || dst AS line FROM ({_CHAIN})",
 }
+ORACLES |= {f"{name}_whole": ORACLES[name].replace(_SPARSE, _CUST_PART).replace(_CHAIN, _CHAIN.replace(" WHERE l_quantity >= 49", "")) for name in WHOLE}
