@@ -414,6 +414,63 @@ def test_toxicity_bias_follows_folds():
     assert (fit(plain + same, y, 0.1).score(plain) >= 0.5).mean() <= 0.03
 
 
+def test_toxicity_objective():
+    """The fit's weights against a dense objective over features that are found and counted by other means."""
+    from vertexloom.llm.toxicity import IDENTITY_TERMS, Bounds, Sample
+
+    rng = np.random.default_rng(3)
+    pool = [f"w{k}" for k in range(30)] + ["women", "men", "muslim", "blockhead", "blocks", "trash!", "(trash"]
+    texts = [("\n" if k % 2 else "\t").join(rng.choice(pool, 8)) for k in range(160)]
+    toxic = np.array([float("trash" in t or ("women" in t and k % 3 == 0)) for k, t in enumerate(texts)])
+    b = Bounds(least=2, features=40, rounds=2000)
+    p = Sample(texts, toxic, b).problem(np.ones(len(texts), bool), 0.2)
+
+    def of(text):
+        out = set()
+        for w in text.split():
+            w = w[:1] + w[1:].rstrip(".,;:!?\"')(") if len(w) > 1 else w
+            out |= {(0, w)} | {(h, w[:h]) for h in b.heads if len(w) > h}
+        return out
+
+    after = {t: line[(i + 1) % len(line)] for line in IDENTITY_TERMS for i, t in enumerate(line)}
+    swapped = [(i, re.sub(r"[a-z]+", lambda m: after.get(m[0], m[0]), t)) for i, t in enumerate(texts) if set(re.findall(r"[a-z]+", t)) & set(after)]
+    have = [of(t) for t in texts]
+    n = Counter(f for x in have for f in x)
+    y1, y0 = toxic.sum(), (1 - toxic).sum()
+    telling = {}
+    for f, c in n.items():
+        c1 = sum(toxic[i] for i, x in enumerate(have) if f in x)
+        p1, p0 = (c1 + 0.5) / (y1 + 1), (c - c1 + 0.5) / (y0 + 1)
+        telling[f] = (abs(np.log(p1 / p0)) * abs(p1 - p0) if c >= 2 else 0.0) + 1e3 * (f[1] in after and f[0] == 0)
+    kept = sorted((f for f in telling if telling[f] > 0), key=lambda f: -telling[f])[: b.features]
+    assert len(kept) == len(p.hashes)
+    x = np.array([[f in h for f in kept] for h in have], float)
+    gaps = np.array([[(f in have[i]) - (f in of(t)) for f in kept] for i, t in swapped], float)
+    weight = np.where(toxic == 1, 0.2 / y1, 0.8 / y0)
+
+    def objective(w):
+        z = x @ w[:-1] + w[-1]
+        return (weight * (np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - toxic * z)).sum() + b.decay * (w[:-1] ** 2).sum() + b.fairness * ((gaps @ w[:-1]) ** 2).mean()
+
+    mine = p.solve()
+    value, grad = p.value(mine)
+    # the same least value from plain gradient descent with momentum
+    w, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    for _ in range(40000):
+        z = x @ w[:-1] + w[-1]
+        g = (1 / (1 + np.exp(-z)) - toxic) * weight
+        step = np.append(x.T @ g + 2 * b.decay * w[:-1] + 2 * b.fairness / len(gaps) * gaps.T @ (gaps @ w[:-1]), g.sum())
+        v = 0.95 * v - 0.02 * step
+        w += v
+    assert np.abs(grad).max() < 1e-4 and value <= objective(w) + 1e-6 and objective(w) - value < 0.02
+    # and the gradient is that of the value
+    at = rng.normal(size=len(mine))
+    for k in rng.integers(0, len(mine), 8):
+        e = np.zeros(len(mine))
+        e[k] = 1e-5
+        assert abs((p.value(at + e)[0] - p.value(at - e)[0]) / 2e-5 - p.value(at)[1][k]) < 1e-6
+
+
 def test_counterfactuals_hold_identity_terms_down():
     toxic = [f"those women are scum and trash {k} x{k % 7}" for k in range(60)]
     clean = [f"the men went to the market {k} x{k % 5}" for k in range(60)] + ["a group of men talked"] * 20
@@ -424,6 +481,7 @@ def test_counterfactuals_hold_identity_terms_down():
     gap = lambda m: abs(float(np.diff(m.score(["women met today", "men met today"]))[0]))
     assert gap(fair) < 0.5 * gap(free)
     assert counterfactual("The women, and Men.") == "The men, and women." and counterfactual("nothing here") is None
+    assert counterfactual("old\twomen\nwomenfolk (Gay)") == "young\tmen\nwomenfolk (straight)"
 
 
 def test_fingerprints(spark, docs, odd, none):

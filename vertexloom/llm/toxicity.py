@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import Words, fold, held
+from vertexloom.llm.common import Words, cut, drop_cut, fold, held, trim
 from vertexloom.llm.tokens import _slices
 
 #: Groups of terms that name people by who they are; terms of one line are swapped for each other.
@@ -36,18 +37,20 @@ IDENTITY_TERMS = (
 
 @dataclass(frozen=True)
 class Bounds:
-    """per_class: so many labelled documents of each label, those with the lowest hash, are learned from. features: so
-    many are kept, the most telling ones met in at least `least` documents. heads: words also count by their first bytes.
-    fairness and decay weigh the penalties. The bias is moved until, on `folds` folds of the learning rows, the share
-    `recall` of the toxic ones is found at score 0.5, but not so far that more than the share `alarms` of the others is."""
+    """What is learned from: per_class labelled documents of each label, those with the lowest hash, as long as they have at
+    most `chars` characters together. features: so many are kept, the most telling ones met in at least `least` documents.
+    heads: words also count by their first bytes. fairness and decay weigh the penalties; rounds: the most steps of the
+    fit. The bias is moved until, on `folds` folds of the learning rows, the share `recall` of the toxic ones is found at
+    score 0.5, but not so far that more than the share `alarms` of the others is."""
 
     per_class: int = 3000
+    chars: int = 1 << 23
     features: int = 1024
     least: int = 4
     heads: tuple[int, ...] = (4, 6)
     fairness: float = 1.0
-    decay: float = 3e-4
-    rounds: int = 1000
+    decay: float = 1e-5
+    rounds: int = 200
     folds: int = 5
     recall: float = 0.9
     alarms: float = 0.02
@@ -73,14 +76,15 @@ def features(texts: list[str], heads: tuple[int, ...]) -> tuple[np.ndarray, np.n
     return np.concatenate(texts_), np.concatenate(hashes)
 
 
+_AFTER = {t: line[(i + 1) % len(line)] for line in IDENTITY_TERMS for i, t in enumerate(line)}
+_TERM = re.compile(r"(?<![^\x20\x09-\x0D.,;:!?\"'()])(" + "|".join(sorted(map(re.escape, _AFTER), key=len, reverse=True)) + r")(?![^\x20\x09-\x0D.,;:!?\"'()])", re.IGNORECASE)
+
+
 def counterfactual(text: str) -> str | None:
-    """The text with each identity term swapped for the next of its line; None where there is none."""
-    after = {t: line[(i + 1) % len(line)] for line in IDENTITY_TERMS for i, t in enumerate(line)}
-    words = text.split(" ")
-    out = [after.get(w.lower().strip(".,;:!?\"'()"), None) for w in words]
-    if not any(out):
-        return None
-    return " ".join(w if o is None else o + w[len(w.rstrip(".,;:!?\"'()")) :] for w, o in zip(words, out))
+    """The text with each identity term swapped for the next of its line; None where there is none. A term stands between
+    white space or marks; all else stays as it is."""
+    swapped, n = _TERM.subn(lambda m: _AFTER.get(m[1].lower(), m[1]), text)
+    return swapped if n else None
 
 
 @dataclass
@@ -112,89 +116,184 @@ def _known(texts: list[str], hashes: np.ndarray, heads: tuple[int, ...]) -> tupl
     return pair // len(hashes), pair % len(hashes)
 
 
+def _presence(texts: list[str], heads: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, feature hash) pairs of all texts, found part by part."""
+    at, h = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+    for lo in range(0, len(texts), 128):
+        a, b = features(texts[lo : lo + 128], heads)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        at.append((a[first] + lo).astype(np.int32))
+        h.append(b[first])
+    return np.concatenate(at), np.concatenate(h)
+
+
+class Sample:
+    """Learning rows as presence pairs (row, code), with those of the counterfactuals of rows with an identity term.
+
+    Codes are places in `hashes`, sorted: features met in at least `least` rows, and identity terms that occur.
+    """
+
+    def __init__(self, texts: list[str], toxic: np.ndarray, bounds: Bounds):
+        self.y, self.bounds = np.asarray(toxic, float), bounds
+        at, h = _presence(texts, bounds.heads)
+        names = np.unique(np.concatenate([features([t], ())[1] for t in _AFTER]))
+        slots = np.uint64((1 << 22) - 1)  # a counter of a few hashes is no less than any of theirs
+        often = np.bincount((h & slots).astype(np.int32), minlength=int(slots) + 1)[(h & slots).astype(np.int32)] >= bounds.least
+        keep = often | np.isin(h, names)
+        at, h = at[keep], h[keep]
+        self.hashes, code = np.unique(h, return_inverse=True)
+        n = np.bincount(code, minlength=len(self.hashes))
+        self.names = np.isin(self.hashes, names)
+        fine = (n >= bounds.least) | self.names
+        self.hashes, self.names, self.rows, self.code = self.hashes[fine], self.names[fine], at[fine[code]], (np.cumsum(fine) - 1)[code[fine[code]]].astype(np.int32)
+        swapped = [(i, s) for i, s in ((i, counterfactual(t)) for i, t in enumerate(texts)) if s is not None]
+        self.pair = np.full(len(texts), -1, np.int32)  # the counterfactual of a row
+        self.pair[[i for i, _ in swapped]] = np.arange(len(swapped))
+        c_at, c_h = _presence([s for _, s in swapped], bounds.heads)
+        place = np.minimum(np.searchsorted(self.hashes, c_h), max(0, len(self.hashes) - 1))
+        known = self.hashes[place] == c_h if len(self.hashes) else np.zeros(len(c_h), bool)
+        self.c_rows, self.c_code = c_at[known], place[known].astype(np.int32)
+
+    def problem(self, use: np.ndarray, share: float) -> Problem | None:
+        """What is minimised over the rows in `use` (a mask); None where there is nothing to learn from."""
+        y, least = self.y, self.bounds.least
+        if not use.any() or y[use].min() == y[use].max():
+            return None
+        own = use[self.rows]
+        n1 = np.bincount(self.code[own], weights=y[self.rows[own]], minlength=len(self.hashes))
+        n = np.bincount(self.code[own], minlength=len(self.hashes))
+        p1, p0 = (n1 + 0.5) / (y[use].sum() + 1), (n - n1 + 0.5) / ((1 - y[use]).sum() + 1)
+        telling = np.where(n >= least, np.abs(np.log(p1 / p0)) * np.abs(p1 - p0), 0.0)
+        telling[self.names & (n > 0)] += 1e3  # identity terms are always among them, to be held down
+        kept = np.sort(np.argsort(-telling, kind="stable")[: self.bounds.features])
+        kept = kept[telling[kept] > 0]
+        if not len(kept):
+            return None
+        column = np.full(len(self.hashes), -1, np.int32)
+        column[kept] = np.arange(len(kept))
+        row = (np.cumsum(use) - 1).astype(np.int32)
+        own &= column[self.code] >= 0
+        pairs = np.flatnonzero(use & (self.pair >= 0))
+        gap = np.full(self.pair.max(initial=-1) + 1, -1, np.int32)
+        gap[self.pair[pairs]] = np.arange(len(pairs))
+        mine = own & (self.pair[self.rows] >= 0)
+        other = (column[self.c_code] >= 0) & (gap[self.c_rows] >= 0)
+        d_rows = np.concatenate([gap[self.pair[self.rows[mine]]], gap[self.c_rows[other]]])
+        d_cols = np.concatenate([column[self.code[mine]], column[self.c_code[other]]])
+        d_sign = np.concatenate([np.ones(int(mine.sum())), -np.ones(int(other.sum()))])
+        y = y[use]
+        each = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum()))
+        return Problem(self.hashes[kept], y, each, row[self.rows[own]], column[self.code[own]], d_rows, d_cols, d_sign, len(pairs), self.bounds)
+
+
+@dataclass
+class Problem:
+    """Presence pairs (rows, cols) of labelled texts, and the signed ones in which texts and counterfactuals differ."""
+
+    hashes: np.ndarray
+    y: np.ndarray
+    each: np.ndarray
+    rows: np.ndarray
+    cols: np.ndarray
+    d_rows: np.ndarray
+    d_cols: np.ndarray
+    d_sign: np.ndarray
+    pairs: int
+    bounds: Bounds
+
+    def value(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """The objective and its gradient; the bias is w's last place."""
+        m = len(self.hashes)
+        z = w[-1] + np.bincount(self.rows, weights=w[self.cols], minlength=len(self.y))
+        loss = float((self.each * (np.logaddexp(0.0, z) - self.y * z)).sum()) + self.bounds.decay * float((w[:-1] ** 2).sum())
+        g = (0.5 * (1.0 + np.tanh(0.5 * z)) - self.y) * self.each
+        grad = np.append(np.bincount(self.cols, weights=g[self.rows], minlength=m) + 2 * self.bounds.decay * w[:-1], g.sum())
+        if self.pairs:
+            gap = np.bincount(self.d_rows, weights=w[self.d_cols] * self.d_sign, minlength=self.pairs)
+            loss += self.bounds.fairness * float((gap**2).sum()) / self.pairs
+            grad[:-1] += 2 * self.bounds.fairness / self.pairs * np.bincount(self.d_cols, weights=gap[self.d_rows] * self.d_sign, minlength=m)
+        return loss, grad
+
+    def solve(self, memory: int = 10, near: float = 1e-6) -> np.ndarray:
+        """The minimum, by limited-memory BFGS with backtracking; it ends where the gradient is below `near`."""
+        w = np.zeros(len(self.hashes) + 1)
+        f, g = self.value(w)
+        steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+        for _ in range(self.bounds.rounds):
+            if np.abs(g).max() < near:
+                break
+            q, alphas = g.copy(), []
+            for s, d, rho in reversed(steps):
+                alphas.append(rho * (s @ q))
+                q -= alphas[-1] * d
+            q *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1.0 / max(1.0, np.abs(g).sum())
+            for (s, d, rho), a in zip(steps, reversed(alphas)):
+                q += (a - rho * (d @ q)) * s
+            slope, t = -(g @ q), 1.0
+            while True:
+                new = w - t * q
+                f_new, g_new = self.value(new)
+                if f_new <= f + 1e-4 * t * slope or t < 1e-10:
+                    break
+                t /= 2
+            s, d = new - w, g_new - g
+            if t < 1e-10:
+                break
+            if s @ d > 1e-12 * (d @ d):
+                steps = [*steps[1 - memory :], (s, d, 1.0 / (s @ d))]
+            w, f, g = new, f_new, g_new
+        return w
+
+
 def fit(texts: list[str], toxic: list[int], share: float, bounds: Bounds = Bounds()) -> Model:
     """share: of label 1 among the labelled rows; the score of all texts where nothing can be learned. In the fit labels
     weigh by that share, then the bias is moved as folds of the same rows tell. Minimises log loss + decay * |w|^2 +
-    fairness * mean (w x - w x')^2 over the sentences x with an identity term and their counterfactuals x'. With one label only, or none, every score is that label's share.
+    fairness * mean (w x - w x')^2 over the sentences x with an identity term and their counterfactuals x'. With one label
+    only, or none, every score is that label's share.
+
+    Rows are turned into presence pairs once; the fits of the folds take their rows' pairs from there.
     """
-    y = np.array(toxic, float)
     share = min(max(share, 1e-4), 1 - 1e-4)
-    model = _fit(texts, y, share, bounds)
-    return replace(model, bias=model.bias + _shift(texts, y, share, bounds)) if len(model.hashes) else model
-
-
-def _shift(texts: list[str], y: np.ndarray, share: float, bounds: Bounds) -> float:
-    """How far the bias is moved, by scores of models that haven't seen the rows' fold. Equal texts are in one fold."""
-    fold_of = np.array([zlib.crc32(t.encode("utf-8", "replace")) % bounds.folds for t in texts])
-    z = np.zeros(len(y))
+    known = Sample(texts, np.array(toxic, float), bounds)
+    # equal texts are in one fold
+    fold_of = np.array([zlib.crc32(t.encode("utf-8", "replace")) % bounds.folds for t in texts], np.int64)
+    del texts
+    model = _fit(known, np.ones(len(known.y), bool), share)
+    if not len(model.hashes):
+        return model
+    z = np.zeros(len(known.y))
     for k in range(bounds.folds):
-        rest, own = np.flatnonzero(fold_of != k), np.flatnonzero(fold_of == k)
-        z[own] = _fit([texts[i] for i in rest], y[rest], share, bounds).logits([texts[i] for i in own])
-    toxic, clean = np.sort(z[y == 1])[::-1], np.sort(z[y == 0])[::-1]
+        part = _fit(known, fold_of != k, share)
+        z += np.where(fold_of == k, part.bias, 0.0)
+        if len(part.hashes):
+            at = np.searchsorted(known.hashes, part.hashes)
+            weights = np.zeros(len(known.hashes))
+            weights[at] = part.weights
+            z += np.where(fold_of == k, np.bincount(known.rows, weights=weights[known.code], minlength=len(z)), 0.0)
+    toxic, clean = np.sort(z[known.y == 1])[::-1], np.sort(z[known.y == 0])[::-1]
     enough = -toxic[math.ceil(bounds.recall * len(toxic)) - 1]
     most = -np.nextafter(clean[int(bounds.alarms * len(clean))], np.inf)
-    return float(max(0.0, min(enough, most)))
-
-
-def _fit(texts: list[str], y: np.ndarray, share: float, bounds: Bounds) -> Model:
-    prior = math.log(share / (1 - share))
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), prior, bounds.heads)
-    parts = [(lo, texts[lo : lo + 256]) for lo in range(0, len(texts), 256)]
-    seen = [features(t, bounds.heads) for _, t in parts]
-    distinct = []
-    for (lo, _), (at, h) in zip(parts, seen):
-        order = np.lexsort((h, at))
-        at, h = at[order] + lo, h[order]
-        first = np.concatenate([[True], (at[1:] != at[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
-        distinct.append((at[first], h[first]))
-    at, h = np.concatenate([d[0] for d in distinct]), np.concatenate([d[1] for d in distinct])
-    hashes, code = np.unique(h, return_inverse=True)
-    n1 = np.bincount(code, weights=y[at], minlength=len(hashes))
-    n = np.bincount(code, minlength=len(hashes))
-    p1, p0 = (n1 + 0.5) / (y.sum() + 1), (n - n1 + 0.5) / ((1 - y).sum() + 1)
-    telling = np.where(n >= bounds.least, np.abs(np.log(p1 / p0)) * np.abs(p1 - p0), 0.0)
-    names = np.unique(np.concatenate([features([t], ())[1] for line in IDENTITY_TERMS for t in line]))
-    telling[np.isin(hashes, names) & (n > 0)] += 1e3  # identity terms are always among them, to be held down
-    kept = np.sort(np.argsort(-telling, kind="stable")[: bounds.features])
-    kept = kept[telling[kept] > 0]
-    hashes = hashes[kept]
-    if not len(hashes):
-        return Model(hashes, np.zeros(0), prior, bounds.heads)
-    rows, cols = _known_all(texts, hashes, bounds.heads)
-    swapped = [(i, s) for i, s in ((i, counterfactual(t)) for i, t in enumerate(texts)) if s is not None]
-    mine = {i: k for k, (i, _) in enumerate(swapped)}
-    c_rows, c_cols = _known_all([s for _, s in swapped], hashes, bounds.heads)
-    own = np.isin(rows, np.array(list(mine), np.int64)) if mine else np.zeros(len(rows), bool)
-    d_rows = np.concatenate([np.array([mine[i] for i in rows[own].tolist()], np.int64), c_rows])
-    d_cols = np.concatenate([cols[own], c_cols])
-    d_sign = np.concatenate([np.ones(int(own.sum())), -np.ones(len(c_rows))])
-    w, bias, m = np.zeros(len(hashes)), 0.0, len(y)
-    each = np.where(y == 1, share / y.sum(), (1 - share) / (m - y.sum()))
-    mom, var = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1)
-    for t in range(1, bounds.rounds + 1):
-        z = bias + np.bincount(rows, weights=w[cols], minlength=m)
-        g = (1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - y) * each
-        grad = np.append(np.bincount(cols, weights=g[rows], minlength=len(w)) + 2 * bounds.decay * w / math.sqrt(len(w)), g.sum())
-        if swapped:
-            gap = np.bincount(d_rows, weights=w[d_cols] * d_sign, minlength=len(swapped))
-            grad[:-1] += 2 * bounds.fairness / len(swapped) * np.bincount(d_cols, weights=gap[d_rows] * d_sign, minlength=len(w))
-        mom, var = 0.9 * mom + 0.1 * grad, 0.999 * var + 0.001 * grad**2
-        step = 0.05 * (mom / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.999**t)) + 1e-9)
-        w -= step[:-1]
-        bias -= step[-1]
-    return Model(hashes, w, bias, bounds.heads)
-
-
-def _known_all(texts: list[str], hashes: np.ndarray, heads: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    got = [(lo, _known(texts[lo : lo + 256], hashes, heads)) for lo in range(0, len(texts), 256)]
-    if not got:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a + lo for lo, (a, _) in got]), np.concatenate([b for _, (_, b) in got])
+    return replace(model, bias=model.bias + float(max(0.0, min(enough, most))))
+
+
+def _fit(known: Sample, use: np.ndarray, share: float) -> Model:
+    p = known.problem(use, share)
+    if p is None:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), math.log(share / (1 - share)), known.bounds.heads)
+    w = p.solve()
+    return Model(p.hashes, w[:-1], float(w[-1]), known.bounds.heads)
 
 
 def learn(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Model:
-    """The model of the labelled rows (labels: doc_id, toxic 0 or 1; others, and null texts, aren't learned from)."""
+    """The model of the labelled rows (labels: doc_id, toxic 0 or 1; others, and null texts, aren't learned from).
+
+    Of each label the bounds.per_class rows of the lowest hash whose texts, in that order, stay within bounds.chars
+    characters together are collected: the bound on what reaches the driver. Rows that repeat a label or an id count as
+    often as they come. Extra columns are ignored; without labels or documents every score is the labels' share.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = sum(counts.values())
@@ -202,13 +301,23 @@ def learn(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
     for y in (0, 1):
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bounds.per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").collect()  # at most 2 * per_class labels
-    rows.sort(key=lambda r: (r.doc_id, r.toxic, r.text))
-    return fit([r.text for r in rows], [r.toxic for r in rows], counts.get(1, 0) / total if total else 0.0, bounds)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")  # 2 * per_class labels
+    lengths = cut(rows.select("doc_id", "toxic", F.char_length("text").cast("long").alias("size")), "lengths")
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "size"))  # per_class rows each
+    within = lengths.withColumn("so_far", so_far).where(F.col("so_far") <= bounds.chars).groupBy("doc_id", "toxic").agg(F.max("size").alias("most"))
+    taken = rows.join(F.broadcast(within), ["doc_id", "toxic"]).where(F.char_length("text") <= F.col("most")).select("doc_id", "text", "toxic").collect()
+    drop_cut(lengths)
+    taken.sort(key=lambda r: (r.doc_id, r.toxic, r.text))
+    texts, toxic = [r.text for r in taken], [r.toxic for r in taken]
+    del taken
+    try:
+        return fit(texts, toxic, counts.get(1, 0) / total if total else 0.0, bounds)
+    finally:
+        trim()
 
 
 def scorer(model: Model):
-    """A column function text -> score from 0 to 1; null counts as empty."""
+    """A column function text -> score from 0 to 1; null counts as empty. Whole texts are scored, long ones alone."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -220,6 +329,9 @@ def scorer(model: Model):
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of docs. Equal texts have equal scores, whatever their ids; null
+    and empty texts have the score of a text without a known feature. A null id isn't held out and isn't learned from.
+    Tables without rows, and extra columns, do no harm."""
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     model = learn(docs, labels.where(~held))
     d = docs.select("doc_id", held.alias("held_out"), scorer(model)(F.col("text")).alias("score"))
