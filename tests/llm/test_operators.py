@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm import queries as Q
 from vertexloom.llm.common import components, may_hold, shingle_set, table
-from vertexloom.llm.fingerprints import fingerprint_query
+from vertexloom.llm.fingerprints import K, bottom_k, containment, distinct_shingles, fingerprint_query, merge, merged, resemblance, with_next
 from vertexloom.llm.jaccard import Params as JaccardParams
 from vertexloom.llm.jaccard import jaccard_components
 from vertexloom.llm.langid import Model as LanguageModel
@@ -511,6 +511,65 @@ def test_fingerprints(spark, docs, odd, none):
     assert fingerprint_query(none).count() == 0
 
 
+def brute_bottom(text, k=K):
+    """The k least 48-bit hashes of a text's shingles, from the word hashes on in plain Python."""
+    import xxhash
+
+    words_ = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words_]
+    out = set()
+    for i in range(max(1, len(hashes) - 4) if hashes else 0):
+        h = 42
+        for x in hashes[i : i + 5]:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h)
+        out.add(h >> 16)
+    return sorted(out)[:k]
+
+
+def test_bottom_k(spark, docs, odd):
+    texts = [t or "" for d in (docs, odd) for _, t in rows_of(d)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    got = {r.i: r.f for r in df.select("i", bottom_k(F.col("text")).alias("f")).collect()}
+    assert all(got[i] == brute_bottom(t) for i, t in enumerate(texts))
+
+
+def test_fingerprints_of_parts(spark):
+    """Sketches of parts merge into that of the whole, whatever the grouping; estimates against exact counts."""
+    rng = np.random.default_rng(5)
+    k = 16
+    sets = [sorted({int(x) for x in rng.integers(0, 2**48, n)}) for n in (0, 3, 16, 40, 400)]
+    parts = [(g, i, s[i::3][:k]) for g, s in enumerate(sets) for i in range(3)] + [(None, 0, sets[3][:k]), (None, 1, sets[3][:k]), (9, 0, None)]
+    df = spark.createDataFrame(parts, "g int, i int, fingerprint array<bigint>").withColumn("_rank", F.lit("x"))
+    got = {r.g: r.fingerprint for r in merged(df, ["g"], k=k).collect()}
+    assert got == {**{g: s[:k] for g, s in enumerate(sets)}, None: sets[3][:k], 9: []}
+    mixed = rng.permutation(sets[4]).tolist()
+    a, b = mixed[:300], mixed[100:]
+    row = spark.createDataFrame([(sorted(a)[:128], sorted(b)[:128], sets[1], [])], "a array<bigint>, b array<bigint>, c array<bigint>, d array<bigint>")
+    r = row.select(merge(F.col("a"), F.col("b")).alias("m"), containment(F.col("a"), F.col("b")).alias("in_b"), resemblance(F.col("a"), F.col("b")).alias("r"), distinct_shingles(F.col("a")).alias("n"),
+                   distinct_shingles(F.col("c")).alias("few"), containment(F.col("c"), F.col("c")).alias("same"), containment(F.col("d"), F.col("a")).alias("none"), resemblance(F.col("d"), F.col("c")).alias("apart")).first()
+    union = sorted(set(a) | set(b))[:128]
+    assert r.m == union and r.r == len(set(union) & set(a) & set(b)) / 128
+    assert abs(r.in_b - 2 / 3) < 0.25 and abs(r.n - 300) < 90 and (r.few, r.same, r.none, r.apart) == (3.0, 1.0, 1.0, 0.0)
+
+
+def test_fingerprint_order(spark):
+    """Ids far apart, crowded, repeated and null, with blocks of a few rows."""
+    ids = [-(2**63), 2**63 - 1, 0, *range(100, 160), *[77] * 40, *[None] * 30, 10**15]
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+    got = [tuple(r) for r in with_next(spark.createDataFrame(rows, "doc_id long, text string"), 8).select("doc_id", "text", "next_text").collect()]
+    after = {t: n for _, t, n in got}
+    assert sorted(after) == sorted(t for _, t in rows) and len(got) == len(rows)
+    at, order = rows[0][1], []
+    by = {t: i for i, t in rows}
+    for _ in rows:
+        order.append(by[at])
+        at = after[at]
+    assert at == rows[0][1]
+    start = order.index(2**63 - 1)
+    order = order[start:] + order[:start]
+    assert order == sorted(ids, key=lambda i: (i is None, -(i or 0)))
+
+
 def test_sharding(spark, docs, odd, none):
     for d in (docs, odd):
         got = shard_query(d).collect()

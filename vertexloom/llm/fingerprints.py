@@ -9,6 +9,10 @@ A-Z only, have equal fingerprints. A null text is an empty text.
 
 from __future__ import annotations
 
+import json
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +46,15 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
-def merged(fingerprint: Column, k: int = K) -> Column:
-    """Aggregate: the fingerprint of all parts of a group. The state holds k hashes for each row group merged."""
-    return F.reduce(F.collect_list(fingerprint), F.array().cast("array<bigint>"), lambda acc, x: merge(acc, x, k))
+def merged(rows: DataFrame, keys: list[str], fingerprint: str = "fingerprint", k: int = K) -> DataFrame:
+    """(keys, fingerprint) of each group's parts together; null keys are a group, groups of empty parts have an empty one.
+
+    Hashes are made distinct and ranked as rows, partly before their shuffles: no task holds a group.
+    """
+    one = rows.select(*keys, F.explode_outer(fingerprint).alias("_hash")).groupBy(*keys, "_hash").count()
+    low = Window.partitionBy(*keys).orderBy(F.col("_hash").asc_nulls_last())
+    least = one.withColumn("_rank", F.row_number().over(low)).where(F.col("_rank") <= k)
+    return least.groupBy(*keys).agg(F.sort_array(F.collect_list("_hash")).alias("fingerprint"))  # collect_list skips null
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -72,29 +82,57 @@ def as_text(a: Column) -> Column:
     return F.concat_ws("", F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), BITS // 4, "0"))))
 
 
+def _upto(cuts: list[int], value: Column) -> Column:
+    """How many of the ascending cuts are at most value, by a coarse list of them and then one stretch of the fine list."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(cuts)))
+    listed = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    coarse = F.size(F.filter(listed(cuts[::step]), lambda c: c <= value))
+    fine = F.slice(listed(cuts), F.greatest((coarse - 1) * step + 1, F.lit(1)), F.lit(step))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(fine, lambda c: c <= value)))
+
+
+def blocks(docs: DataFrame, per_block: int = 512, most: int = 10_000) -> Column:
+    """A column that cuts docs (doc_id) into blocks of about per_block rows, at most about `most`, that follow each other as
+    ids do. Cuts are quantiles of the ids, so it doesn't matter how ids lie. An id that fills several blocks, or a null,
+    is dealt to them by chance; null ids come first of all, below 0."""
+    s = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("n")).first()
+    m = max(1, min(most, s.n // per_block))
+    cuts = []
+    if m > 1:
+        quantiles = docs.agg(F.percentile_approx("doc_id", [k / m for k in range(1, m)], 10 * m).alias("cuts"))
+        cuts = sorted(quantiles.first().cuts)
+    chance = F.xxhash64(F.monotonically_increasing_id())
+    block = _upto(cuts, F.col("doc_id"))
+    hot = {v: c for v, c in Counter(cuts).items() if c > 1}
+    if hot:  # fewer than there are cuts
+        span = F.from_json(F.lit(json.dumps({str(v): c for v, c in hot.items()})), "map<string,int>")
+        block = block - F.coalesce(F.pmod(chance, F.element_at(span, F.col("doc_id").cast("string")).cast("long")), F.lit(0)).cast("int")
+    nulls = max(1, min(most, (s.rows - s.n) // per_block))
+    return F.coalesce(block.cast("long"), -1 - F.pmod(chance, F.lit(nulls))).cast("long")
+
+
 def with_next(docs: DataFrame, per_block: int = 512) -> DataFrame:
     """Rows (doc_id, text, fingerprint, next_text, next_fingerprint): next is the document that follows in descending doc_id,
-    after the last the first. Null ids come last; rows that repeat an id are ordered by text. One row alone follows itself.
+    after the last the first. Null ids come last. Rows that repeat an id follow each other in some order. One row alone
+    follows itself. No rows give no rows; extra columns are ignored.
 
-    Ids are cut by value into blocks of about per_block rows; each block is a window group, and the head of the block
-    that follows is joined to a block's last row. No window spans the documents; the one over block numbers has a narrow
-    row for each block. Texts are shuffled once; fingerprints are made after that shuffle and not moved.
+    Each block of ids is a window group, and the head of the block that follows is joined to a block's last row. No window
+    spans the documents; the one over block numbers has a narrow row for each block. Texts are shuffled once (the heads
+    are read from the same shuffle); fingerprints are made after that and not moved.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    s = d.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n")).first()
-    span = 1 if not s.n else max(1, -(-(s.hi - s.lo + 1) * per_block // s.n))
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(s.lo or 0)) / F.lit(span)).cast("long"), F.lit(-1))
-    d = d.withColumn("block", block)
-    heads = d.groupBy("block").agg(F.max("doc_id").alias("doc_id"))
-    # the text of each head; of rows that repeat its id, the one that comes first
-    texts = d.join(heads.withColumnRenamed("doc_id", "head"), "block").where(F.col("doc_id").eqNullSafe(F.col("head")))
-    texts = texts.groupBy("block").agg(F.max("text").alias("head_text"))
+    placed = d.withColumn("block", blocks(d, per_block))
+    d = placed.repartition("block")
+    order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    ranked = d.withColumn("rank", F.row_number().over(order)).withColumn("lead_text", F.lead("text").over(order))
+    heads = ranked.where("rank = 1").select("block", F.col("text").alias("head_text"))
     all_blocks = Window.partitionBy(F.lit(0)).orderBy(F.col("block").desc())
     whole = all_blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follows = heads.select(F.col("block").alias("of"), F.coalesce(F.lead("block").over(all_blocks), F.first("block").over(whole)).alias("block"))
-    follows = follows.join(texts, "block").select(F.col("of").alias("block"), "head_text").withColumn("head_fp", bottom_k(F.col("head_text")))
-    order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    run = d.withColumn("lead_text", F.lead("text").over(order)).withColumn("fingerprint", bottom_k(F.col("text")))
+    numbers = placed.groupBy("block").count().select(F.col("block").alias("of"), F.coalesce(F.lead("block").over(all_blocks), F.first("block").over(whole)).alias("block"))
+    follows = heads.join(F.broadcast(numbers), "block").select(F.col("of").alias("block"), "head_text").withColumn("head_fp", bottom_k(F.col("head_text")))
+    run = ranked.withColumn("fingerprint", bottom_k(F.col("text")))
     run = run.withColumn("lead_fp", F.lead("fingerprint").over(order)).join(follows, "block", "left")
     last = F.col("lead_text").isNull()
     return run.select("doc_id", "text", "fingerprint", F.when(last, F.col("head_text")).otherwise(F.col("lead_text")).alias("next_text"), F.when(last, F.col("head_fp")).otherwise(F.col("lead_fp")).alias("next_fingerprint"))
