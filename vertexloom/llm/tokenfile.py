@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import cut, mix, trimmed
+from vertexloom.llm.common import cut, give_back, mix, trimmed
 from vertexloom.llm.tokens import crc_of, word_encoder
 
 BLOCK_IDS = 1 << 18
@@ -153,6 +153,7 @@ def write_container(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFra
                         yield flush()
                         start, block = start + size, block + 1
                         ids, reps, tokens, size = [], [], [], 0
+                give_back()
         if ids:
             yield flush()
 
@@ -163,7 +164,7 @@ def write_container(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFra
     return cut(ordered.mapInArrow(trimmed(run), SCHEMA), "tokens")
 
 
-def _runs(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _runs(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Row ranges of about most bytes of text."""
 
     size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))

@@ -68,20 +68,24 @@ class WordEncoder:
         self.at = {words[i]: k for k, i in enumerate(old.tolist())}
         known[old] = np.arange(len(old))
 
+    def _ids(self, texts: list[str], at_once: int) -> list[list[int]]:
+        """Ids of each text; what the library gives beside them is let go after every `at_once`."""
+        return [x.ids for lo in range(0, len(texts), at_once) for x in self.tokenizer.encode_batch_fast(texts[lo : lo + at_once], add_special_tokens=False)]
+
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if _PLAIN.fullmatch(w)] if self.end_of_word is not None else []
         rest = [w for w in words if not _PLAIN.fullmatch(w)] if plain else words
         parts, lengths = [], []
         if plain:  # one pre-token each, and only its last id ends a word: encoded side by side, cut after these ids
             lines = [" ".join(plain[i : i + 256]) for i in range(0, len(plain), 256)]
-            ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ids = np.concatenate([np.array(x, np.uint32) for x in self._ids(lines, 8)])
             ends = np.flatnonzero(self.end_of_word[ids])
             parts.append(ids)
             lengths.append(np.diff(ends, prepend=-1))
             if len(ends) != len(plain):
                 raise ValueError("a word of letters wasn't one pre-token")
         if rest:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            found = self._ids(rest, 1024)
             lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
             parts.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
         n = np.concatenate(lengths)
