@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,6 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return said.rstrip("/")
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 1 << 22
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, in a session whose batches for Python workers have at most about BATCH_BYTES: by rows alone, 10,000 long texts
+    would be gigabytes. A smaller bound that the session has stays. The bound changes no result, and is left set."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = re.fullmatch(r"(\d+)b?", conf.get(name) or "")
+    if not said or int(said[1]) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return docs
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession

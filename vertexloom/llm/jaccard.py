@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import components, cut, drop_cut, held, may_hold, mix, shingle_set, trimmed
+from vertexloom.llm.common import bounded, components, cut, drop_cut, held, may_hold, mix, shingle_set, trimmed
 
 #: Size of the subsets that light sets enumerate.
 K = 2
@@ -377,7 +377,7 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), links: bool =
     one component already, so lists are worked off whole: a group of near copies costs all its pairs. Copies are counted.
     """
     p, counted = params, links
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = cut(describe(docs, p), "described")
     light = seen.where("n is not null").select("doc_id", "n", "d1", "d2")
     classes = frequency_class(_sum_counters(seen.where("chunk is not null").select("chunk", "salt", "part"), p.counters))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import fold, held
+from vertexloom.llm.common import bounded, fold, held
 
 UNKNOWN = "und"
 
@@ -146,7 +146,7 @@ class Model:
 
 def sample(docs: DataFrame, bounds: Bounds = Bounds()) -> dict[str, list[str]]:
     """Labelled texts of each language, bounded as Bounds says; docs with null lang, text or id aren't among them."""
-    known = docs.where("lang is not null and text is not null and doc_id is not null and trim(text) <> ''")
+    known = bounded(docs).where("lang is not null and text is not null and doc_id is not null and trim(text) <> ''")
     langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(bounds.languages).collect()]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known.select("doc_id", "lang").where(F.col("lang").isin(langs)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= bounds.docs)

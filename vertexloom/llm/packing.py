@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import cut, give_back, trimmed
+from vertexloom.llm.common import bounded, cut, give_back, trimmed
 from vertexloom.llm.tokens import crc_of, word_encoder
 from vertexloom.llm.tokenfile import _runs
 
@@ -207,7 +207,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int =
                 give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), schema)
 
 
 def pack_pieces(pieces: DataFrame, room: int = 4096) -> DataFrame:

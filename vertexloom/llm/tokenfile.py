@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import cut, give_back, mix, trimmed
+from vertexloom.llm.common import bounded, cut, give_back, mix, trimmed
 from vertexloom.llm.tokens import crc_of, word_encoder
 
 BLOCK_IDS = 1 << 18
@@ -159,7 +159,7 @@ def write_container(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFra
 
     arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("n_docs", pa.int32()),
                        *((c, pa.binary()) for c in ("payload", "keys", "seeds", "prints", "slots"))])
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = d.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
     return cut(ordered.mapInArrow(trimmed(run), SCHEMA), "tokens")
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import held
+from vertexloom.llm.common import bounded, held
 
 
 
@@ -280,7 +280,7 @@ def token_count(path: str, chunk: int = 16_384, overlap: int = 256):
 
 
 def token_count_query(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
-    d = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), token_count(path)(F.col("text")).alias("n_tokens"))
+    d = bounded(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), token_count(path)(F.col("text")).alias("n_tokens"))
     return d.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

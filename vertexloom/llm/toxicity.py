@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import Words, cut, drop_cut, fold, held, trim
+from vertexloom.llm.common import Words, bounded, cut, drop_cut, fold, held, trim
 from vertexloom.llm.tokens import _slices
 
 #: Groups of terms that name people by who they are; terms of one line are swapped for each other.
@@ -294,6 +294,7 @@ def learn(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
     characters together are collected: the bound on what reaches the driver. Rows that repeat a label or an id count as
     often as they come. Extra columns are ignored; without labels or documents every score is the labels' share.
     """
+    docs = bounded(docs)
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = sum(counts.values())
