@@ -191,7 +191,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int =
             for lo, hi in _runs(batch.column("text")):
                 out: list[list] = [[] for _ in range(5)]
                 ids = []
-                for i, t in zip(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), encoder.encode_all(batch.column("text").slice(lo, hi - lo).to_pylist())):
+                for i, t in zip(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), encoder.encode_all(batch.column("text").slice(lo, hi - lo))):
                     t = np.append(t, np.uint32(end_id))
                     for p, s in enumerate(range(0, len(t), room)):
                         part = t[s : s + room]

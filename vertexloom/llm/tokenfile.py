@@ -141,8 +141,7 @@ def write_container(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFra
 
         for batch in batches:
             for lo, hi in _runs(batch.column("text")):
-                texts = batch.column("text").slice(lo, hi - lo).to_pylist()
-                for i, t in zip(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), encoder.encode_all(texts)):
+                for i, t in zip(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), encoder.encode_all(batch.column("text").slice(lo, hi - lo))):
                     rep = rep + 1 if (i,) == last else 0
                     last = (i,)
                     ids.append(i)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -30,7 +29,7 @@ def load(path: str):
 
 
 #: Letters that neither lower-casing nor composition changes.
-_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -55,61 +54,66 @@ class WordEncoder:
         if suffix:
             self.end_of_word = np.zeros(1 + max(vocabulary.values()), bool)
             self.end_of_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.at: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())
         self.lengths, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _keep(self, words: list[str], known: np.ndarray) -> None:
+    def _keep(self, words: pa.Array, known: np.ndarray) -> None:
         """Forgets all but those of the given words that were known, at the places `known`, which are made anew."""
         old = np.flatnonzero(known >= 0)
         n, first = self.lengths[known[old]], self.starts[known[old]]
         ends = np.cumsum(n)
         self.ids = self.ids[np.repeat(first - (ends - n), n) + np.arange(int(n.sum()))]
         self.lengths, self.starts = n, ends - n
-        self.at = {words[i]: k for k, i in enumerate(old.tolist())}
+        self.words = words.take(pa.array(old))
         known[old] = np.arange(len(old))
 
     def _ids(self, texts: list[str], at_once: int) -> list[list[int]]:
         """Ids of each text; what the library gives beside them is let go after every `at_once`."""
         return [x.ids for lo in range(0, len(texts), at_once) for x in self.tokenizer.encode_batch_fast(texts[lo : lo + at_once], add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _PLAIN.fullmatch(w)] if self.end_of_word is not None else []
-        rest = [w for w in words if not _PLAIN.fullmatch(w)] if plain else words
-        parts, lengths = [], []
-        if plain:  # one pre-token each, and only its last id ends a word: encoded side by side, cut after these ids
-            lines = [" ".join(plain[i : i + 256]) for i in range(0, len(plain), 256)]
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Encodes and keeps new words; their places."""
+        plain = np.zeros(len(words), bool)
+        if self.end_of_word is not None:
+            plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False).astype(bool)
+        order = np.argsort(~plain, kind="stable")
+        words = words.take(pa.array(order))
+        n_plain, parts, lengths = int(plain.sum()), [], []
+        if n_plain:  # one pre-token each, and only its last id ends a word: encoded side by side, cut after these ids
+            lines = [" ".join(words.slice(lo, min(256, n_plain - lo)).to_pylist()) for lo in range(0, n_plain, 256)]
             ids = np.concatenate([np.array(x, np.uint32) for x in self._ids(lines, 8)])
             ends = np.flatnonzero(self.end_of_word[ids])
             parts.append(ids)
             lengths.append(np.diff(ends, prepend=-1))
-            if len(ends) != len(plain):
+            if len(ends) != n_plain:
                 raise ValueError("a word of letters wasn't one pre-token")
-        if rest:
-            found = self._ids(rest, 1024)
+        if n_plain < len(words):
+            found = self._ids(words.slice(n_plain).to_pylist(), 1024)
             lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
             parts.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
-        n = np.concatenate(lengths)
+        n, place = np.concatenate(lengths), np.empty(len(words), np.int64)
+        place[order] = len(self.words) + np.arange(len(words))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
         self.lengths = np.concatenate([self.lengths, n])
         self.ids = np.concatenate([self.ids, *parts])
-        self.at.update(zip(chain(plain, rest), range(len(self.at), len(self.at) + len(words))))
+        self.words = pa.concat_arrays([self.words, words])
+        return place
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode_all(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """The uint32 ids of each text; none for null."""
         words = self._words(texts)
         each = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        known = np.fromiter((self.at.get(w, -1) for w in distinct), np.int64, len(distinct))
+        del words
+        known = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(known < 0)
-        if len(self.at) + len(new) > self.most:
-            self._keep(distinct, known)
+        if len(self.words) + len(new) > self.most:
+            self._keep(coded.dictionary, known)
         if len(new):
-            self._learn([distinct[i] for i in new])
-            known[new] = np.fromiter((self.at[distinct[i]] for i in new), np.int64, len(new))
+            known[new] = self._learn(coded.dictionary.take(pa.array(new)))
         k = known[coded.indices.to_numpy(zero_copy_only=False)]
         n = self.lengths[k]
         ends = np.cumsum(n)
@@ -119,11 +123,13 @@ class WordEncoder:
         return [ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
 
     @staticmethod
-    def _words(texts: list[str | None]) -> pa.Array:
+    def _words(texts: list[str | None] | pa.Array) -> pa.Array:
         """Lists of words that the pre-tokenizer treats apart: runs of what isn't U+0009 to U+000D or space. To meet fewer
         distinct ones, A-Z are lower-cased, as the normaliser does, and a full stop or comma after a letter is set apart,
         as the pre-tokenizer does; not in texts that may hold special strings, which are matched before that, and not in
         texts with combining marks, since the normaliser composes first and some letters compose in lower case only."""
+        if isinstance(texts, pa.Array):  # a slice is copied first: kernels down the line take its whole buffer for its own
+            texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
         raw = pc.fill_null(pa.array(texts, pa.large_string()), "")
         plain = pc.replace_substring_regex(pc.ascii_lower(raw), r"([a-z])([,.][ \t\n\r\f\v])", r"\1 \2")
         return pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(raw, r"<\||\p{M}"), raw, plain))
