@@ -15,8 +15,8 @@ from vertexloom.llm.common import components, may_hold, shingle_set, table
 from vertexloom.llm.fingerprints import K, bottom_k, containment, distinct_shingles, fingerprint_query, merge, merged, resemblance, with_next
 from vertexloom.llm.jaccard import Params as JaccardParams
 from vertexloom.llm.jaccard import jaccard_components
+from vertexloom.llm.langid import Bounds, SuffixAutomaton, language_query, sample
 from vertexloom.llm.langid import Model as LanguageModel
-from vertexloom.llm.langid import SuffixAutomaton, language_query
 from vertexloom.llm.mixing import mix_query
 from vertexloom.llm.neardup import Params as NearParams
 from vertexloom.llm.neardup import near_duplicates
@@ -298,25 +298,44 @@ def test_suffix_automaton():
     assert ord("z") - 32 not in a.next[0]
 
 
+def greedy(text, sample):
+    """Phrases of a text by its longest matches in a sample, from strings: letters in lower case, runs of others as a blank."""
+    plain = lambda x: re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in x.lower()))
+    known, n, s = plain(sample), 0, None
+    for c in plain(text):
+        if s is not None and s + c in known:
+            s += c
+        else:
+            n, s = n + 1, c if c in known else ""
+    return n
+
+
 def test_language_parse_is_greedy():
-    samples = {"x": ["the cat sat on the mat and the dog ran far"], "y": ["der hund lief weit und die katze sass da"]}
+    rng = np.random.default_rng(8)
+    chars = "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 400, 900))
+    samples = {"x": ["the cat sat on the mat and the dog ran far " * 4], "y": ["der hund lief weit und die katze sass da"], "z": [chars]}
+    texts = ["the dog sat", "die katze lief", "zzz the", "Ünö the cat", "a" * 600, "", "  --  ", "the mat and " * 50, chars[100:300] * 3 + "x", "x" + chars]
+    texts += ["".join(rng.choice(list("the catsonmd  "), int(rng.integers(1, 900)))) for _ in range(40)]
+    for window in (256, 16, 3):
+        m = LanguageModel(samples, Bounds(window=window))
+        got, _, _ = m.phrases(texts)
+        assert [[int(x) for x in row] for row in got] == [[greedy(t, samples[n][0]) for n in m.names] for t in texts]
+    assert m.predict([chars[50:90]])[0][0] == "z" and m.predict(["der hund"])[0][0] == "y"
+
+
+def test_language_costs_and_bounds(spark):
+    """The cost is phrases times log2 of what was learned; every language is learned within the bounds."""
+    samples = {"a": ["abcd" * 200], "b": ["abdc"]}
     m = LanguageModel(samples)
-    for text in ("the dog sat", "die katze lief", "zzz the", "Ünö the cat", "a" * 600):
-        got, _, _ = m.phrases([text])
-        codes, _, _ = m._codes([text])
-        for k, name in enumerate(m.names):
-            known = m._codes(samples[name])[0]
-            known = known[known < m.width - 1].tobytes()
-            n = 0
-            for lo in range(0, len(codes), m.bounds.window):
-                n, s = n + 1, b""
-                for c in codes[lo : lo + m.bounds.window].tobytes():
-                    c = bytes([c])
-                    if s + c in known:
-                        s += c
-                    else:
-                        n, s = n + 1, c if c in known else b""
-            assert int(got[0, k]) == n
+    (lang, score, rate), (count, size, _) = m.predict(["abcd abcd"]), m.phrases(["abcd abcd"])
+    cost = [count[0, 0] * np.log2(800), count[0, 1] * np.log2(4)]
+    assert lang[0] == m.names[int(np.argmin(cost))] and np.isclose(rate[0], min(cost) / size[0])
+    assert np.isclose(score[0], 1 / sum(2.0 ** -(c - min(cost)) for c in cost))
+    rows = [(i, f"l{i % 90}", "word " * 100) for i in range(900)]
+    got = sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), Bounds(docs=3, letters=1000, total=90 * 700))
+    assert len(got) == 90 and all(700 <= sum(map(len, v)) <= 1200 and len(v) == 2 for v in got.values())
+    texts, more = sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), Bounds(docs=3), 2)
+    assert len(more) == 180 and all(len(v) == 3 for v in texts.values())
 
 
 def test_language_query(spark, sf, odd, none):
@@ -416,13 +435,14 @@ def test_toxicity_bias_follows_folds():
 
 def test_toxicity_objective():
     """The fit's weights against a dense objective over features that are found and counted by other means."""
-    from vertexloom.llm.toxicity import IDENTITY_TERMS, Bounds, Sample
+    from vertexloom.llm.toxicity import IDENTITY_TERMS, Sample
+    from vertexloom.llm.toxicity import Bounds as ToxicBounds
 
     rng = np.random.default_rng(3)
     pool = [f"w{k}" for k in range(30)] + ["women", "men", "muslim", "blockhead", "blocks", "trash!", "(trash"]
     texts = [("\n" if k % 2 else "\t").join(rng.choice(pool, 8)) for k in range(160)]
     toxic = np.array([float("trash" in t or ("women" in t and k % 3 == 0)) for k, t in enumerate(texts)])
-    b = Bounds(least=2, features=40, rounds=2000)
+    b = ToxicBounds(least=2, features=40, rounds=2000)
     p = Sample(texts, toxic, b).problem(np.ones(len(texts), bool), 0.2)
 
     def of(text):
@@ -475,9 +495,9 @@ def test_counterfactuals_hold_identity_terms_down():
     toxic = [f"those women are scum and trash {k} x{k % 7}" for k in range(60)]
     clean = [f"the men went to the market {k} x{k % 5}" for k in range(60)] + ["a group of men talked"] * 20
     y = [1] * len(toxic) + [0] * len(clean)
-    from vertexloom.llm.toxicity import Bounds
+    from vertexloom.llm.toxicity import Bounds as ToxicBounds
 
-    fair, free = fit(toxic + clean, y, 0.5, Bounds(least=2)), fit(toxic + clean, y, 0.5, Bounds(least=2, fairness=0.0))
+    fair, free = fit(toxic + clean, y, 0.5, ToxicBounds(least=2)), fit(toxic + clean, y, 0.5, ToxicBounds(least=2, fairness=0.0))
     gap = lambda m: abs(float(np.diff(m.score(["women met today", "men met today"]))[0]))
     assert gap(fair) < 0.5 * gap(free)
     assert counterfactual("The women, and Men.") == "The men, and women." and counterfactual("nothing here") is None

@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import bounded, fold, held
+from vertexloom.llm.common import bounded, cut, drop_cut, fold, held
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """What is learned from: for each language (the `languages` most frequent ones) the documents with the lowest hash,
-    at most `docs` of them, up to `letters` characters; and the `alphabet` most frequent letters. window: texts are
-    parsed in windows of so many characters, all of them."""
+    """What is learned from: every language, of each the documents with the lowest hash, at most `docs` of them and up to
+    `letters` characters, or to an even share of `total` characters where languages are many. window: texts are parsed
+    side by side in windows of so many characters, which changes no result."""
 
-    languages: int = 64
     docs: int = 160
     letters: int = 48_000
-    alphabet: int = 80
+    total: int = 1 << 20
     window: int = 256
 
+    def share(self, languages: int) -> int:
+        return max(1, min(self.letters, self.total // max(1, languages)))
+
 
 class SuffixAutomaton:
     """All substrings of a sequence of small integers; next[state][symbol] or nothing."""
@@ -59,17 +62,45 @@ class SuffixAutomaton:
                     link[q] = link[cur] = clone
             last = cur
 
-    def table(self, width: int) -> np.ndarray:
-        """Flat transitions: where a symbol can't follow, -1 - the state after a new phrase begins with it."""
-        t = np.empty((len(self.next), width), np.int32)
+    def table(self, width: int) -> Dense | Sparse:
+        """Transitions for symbols 0 to width - 1: where one can't follow, -1 - the state after a new phrase begins with it."""
         root = np.zeros(width, np.int32)
         for c, s in self.next[0].items():
             root[c] = s
-        t[:] = -1 - root
         rows = np.repeat(np.arange(len(self.next)), [len(x) for x in self.next])
         cols = np.fromiter((c for x in self.next for c in x), np.int64, len(rows))
-        t[rows, cols] = np.fromiter((s for x in self.next for s in x.values()), np.int32, len(rows))
-        return t.ravel()
+        to = np.fromiter((s for x in self.next for s in x.values()), np.int32, len(rows))
+        if width > 256:
+            order = np.lexsort((cols, rows))
+            return Sparse((rows * width + cols)[order], to[order], root, width)
+        t = np.empty((len(self.next), width), np.int32)
+        t[:] = -1 - root
+        t[rows, cols] = to
+        return Dense(t.ravel(), width)
+
+
+@dataclass
+class Dense:
+    flat: np.ndarray
+    width: int
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.flat[state * np.int32(self.width) + symbol]
+
+
+@dataclass
+class Sparse:
+    """As Dense, for alphabets of which a state is followed by few: known transitions as sorted keys."""
+
+    keys: np.ndarray
+    to: np.ndarray
+    root: np.ndarray
+    width: int
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1 - self.root[symbol])
 
 
 class Model:
@@ -77,17 +108,21 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]], bounds: Bounds = Bounds()):
         self.bounds, self.names = bounds, sorted(samples)
-        letters = Counter(c for texts in samples.values() for x in texts for c in x.lower() if c.isalpha())
-        alphabet = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: bounds.alphabet]]
-        self.width = len(alphabet) + 2  # 0: what isn't a letter; the last: other letters
-        self.classes = np.zeros(0x110000, np.uint8)
-        self.classes[np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)] = self.width - 1
-        self.classes[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
-        self.tables = []
+        alphabet = sorted({c for texts in samples.values() for x in texts for c in x.lower() if c.isalpha()})
+        self.other = len(alphabet) + 1  # 0: what isn't a letter; 1 to len(alphabet): learned letters; then all others
+        self.classes = np.zeros(0x110000, np.int32)
+        self.classes[np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)] = self.other
+        self.classes[[ord(c) for c in alphabet]] = np.arange(1, self.other)
+        self.tables, self.own, self.bits = [], [], []
         for name in self.names:
-            codes, _, _ = self._codes(samples[name])
-            codes = codes[: bounds.letters]
-            self.tables.append(SuffixAutomaton(codes[codes < self.width - 1].tolist()).table(self.width))
+            codes = self._codes(samples[name])[0][: bounds.share(len(samples))]
+            letters = np.unique(codes[codes > 0])
+            own = np.full(self.other + 1, len(letters) + 1, np.int32)  # letters of other languages are one symbol, never learned
+            own[0] = 0
+            own[letters] = np.arange(1, len(letters) + 1)
+            self.own.append(own)
+            self.tables.append(SuffixAutomaton(own[codes].tolist()).table(len(letters) + 2))
+            self.bits.append(math.log2(max(2, len(codes))))
 
     def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Classes of the characters, runs of non-letters as one 0; of each text its codes' end, and whether it has a letter."""
@@ -103,81 +138,146 @@ class Model:
         return c[keep], kept[ends], some[ends] > some[starts]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(phrases of each text by language, codes, has a letter): greedy longest matches, begun anew in each window."""
+        """(phrases of each text by language, codes, has a letter): greedy longest matches from the text's begin to its end."""
         codes, ends, letters = self._codes(texts)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        w = self.bounds.window
-        n = -(-(ends - starts) // w)
-        owner = np.repeat(np.arange(len(texts)), n)
-        begin = starts[owner] + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * w
-        size = np.minimum(ends[owner] - begin, w)
         out = np.zeros((len(texts), len(self.names)), np.int64)
-        order = np.argsort(-size, kind="stable")
-        padded = np.concatenate([codes, np.zeros(w, np.uint8)])
-        for lo in range(0, len(order), 4096):
-            part = order[lo : lo + 4096]
-            grid = np.ascontiguousarray(padded[begin[part][:, None] + np.arange(w)].T).astype(np.int32)
-            live = np.searchsorted(-size[part], -np.arange(w), side="left")  # windows longer than j come first
-            for k, t in enumerate(self.tables):
-                state, count = np.zeros(len(part), np.int32), np.ones(len(part), np.int32)
-                for j in range(w):
-                    m = live[j]
-                    if not m:
-                        break
-                    to = t[state[:m] * np.int32(self.width) + grid[j, :m]]
-                    missed = to >> 31
-                    count[:m] -= missed
-                    state[:m] = to ^ missed
-                np.add.at(out[:, k], owner[part], count)
+        for k, (own, table) in enumerate(zip(self.own, self.tables)):
+            out[:, k] = parse(own[codes], starts, ends, table, self.bounds.window)
         return out, ends - starts, letters
 
-    def predict(self, texts: list[str]) -> pd.DataFrame:
-        """lang_pred, score, rate for each text: the language with the fewest phrases a character (ties: the first by
-        name), its share of all languages' 2^-phrases, and its phrases a character (null without letters)."""
+    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """lang_pred, score, rate for each text. A language's cost is its phrases times log2 of how much was learned of it:
+        what naming the phrases takes, so that a small sample is no handicap. The least cost wins (ties: the first by
+        name); score is its share of all languages' 2^-cost, rate its cost a character (nan without letters)."""
         if not self.names:
-            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "rate": np.nan})
+            return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.full(len(texts), np.nan)
         count, size, letters = self.phrases(texts)
-        best = count.argmin(axis=1)
-        least = count[np.arange(len(texts)), best]
-        score = 1.0 / np.exp2(-np.minimum(count - least[:, None], 1000).astype(float)).sum(axis=1)
+        cost = count * np.array(self.bits)
+        best = cost.argmin(axis=1)
+        least = cost[np.arange(len(texts)), best]
+        score = 1.0 / np.exp2(-np.minimum(cost - least[:, None], 1000.0)).sum(axis=1)
         names = np.array(self.names, object)
-        return pd.DataFrame({"lang_pred": np.where(letters, names[best], UNKNOWN), "score": np.where(letters, score, 0.0), "rate": np.where(letters, least / np.maximum(size, 1), np.nan)})
+        return np.where(letters, names[best], UNKNOWN), np.where(letters, score, 0.0), np.where(letters, least / np.maximum(size, 1), np.nan)
+
+
+def parse(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: Dense | Sparse, w: int) -> np.ndarray:
+    """Phrases in each stretch [start, end) of codes, parsed from its start by longest matches.
+
+    Windows are parsed side by side as if a phrase began with each. Then each is followed beyond its end until it begins a
+    phrase where the window that it has come to does too: from there on the two parses are one. So the whole parse is a
+    chain of pieces of windows. Stretches with a window that finds no such place soon are parsed as one.
+    """
+    n = -(-(ends - starts) // w)
+    first = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(starts)), n)
+    begin = starts[owner] + (np.arange(int(n.sum())) - first[owner]) * w
+    stop = np.minimum(begin + w, ends[owner])
+    begins = np.zeros(len(codes) + 1, np.int64)  # 1 where a window's own parse begins a phrase
+    begins[begin] = 1
+    last = np.zeros(len(begin), np.int32)
+    order = np.argsort(begin - stop, kind="stable")  # full windows first
+    for lo in range(0, len(order), 4096):
+        part = order[lo : lo + 4096]
+        at, size = begin[part], (stop - begin)[part]
+        state = np.zeros(len(part), np.int32)
+        for j in range(w):
+            m = int(np.searchsorted(-size, -j, side="left"))
+            if not m:
+                break
+            to = table.step(state[:m], codes[at[:m] + j])
+            missed = to < 0
+            begins[at[:m][missed] + j] = 1
+            state[:m] = np.where(missed, -1 - to, to)
+        last[part] = state
+    so_far = np.concatenate([[0], np.cumsum(begins)])
+    extra, meets = np.zeros(len(begin), np.int64), stop.copy()
+    live = np.flatnonzero(stop < ends[owner])
+    state = last[live]
+    for _ in range(8 * w):
+        if not len(live):
+            break
+        p = meets[live]
+        to = table.step(state, codes[p])
+        missed = to < 0
+        met = missed & (begins[p] == 1)
+        extra[live[missed & ~met]] += 1
+        meets[live[~met]] += 1
+        go = ~met & (p + 1 < ends[owner[live]])
+        state = np.where(missed, -1 - to, to)[go]
+        live = live[go]
+    hard = np.unique(owner[live])
+    total = np.zeros(len(starts), np.int64)
+    text = np.flatnonzero(n)
+    text = text[~np.isin(text, hard)]
+    at, window = starts[text], first[text]
+    while len(text):
+        total[text] += so_far[stop[window]] - so_far[at] + extra[window]
+        at = meets[window]
+        more = at < ends[text]
+        text, at = text[more], at[more]
+        window = first[text] + (at - starts[text]) // w
+    for t in hard.tolist():
+        state = np.zeros(1, np.int32)
+        for p in range(int(starts[t]), int(ends[t])):
+            to = table.step(state, codes[p : p + 1])
+            if to[0] < 0 or p == starts[t]:
+                total[t] += 1
+            state = np.where(to < 0, -1 - to, to)
+    return total
+
 
+def sample(docs: DataFrame, bounds: Bounds = Bounds(), more: int = 0) -> dict[str, list[str]] | tuple[dict[str, list[str]], list[str]]:
+    """Labelled texts of each language, bounded as Bounds says; docs with null lang, text or id aren't among them. With
+    `more`, also texts of the next so many documents of each language, up to as many characters each.
 
-def sample(docs: DataFrame, bounds: Bounds = Bounds()) -> dict[str, list[str]]:
-    """Labelled texts of each language, bounded as Bounds says; docs with null lang, text or id aren't among them."""
+    Texts are cut to the bound before they are collected.
+    """
     known = bounded(docs).where("lang is not null and text is not null and doc_id is not null and trim(text) <> ''")
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(bounds.languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").where(F.col("lang").isin(langs)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= bounds.docs)
-    rows = known.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("lang", "k", "text").collect()  # at most languages * docs
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size")
+    picked = known.select("doc_id", "lang", F.char_length("text").cast("long").alias("size")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= bounds.docs + more)
+    picked = cut(picked, "picked")
+    most = bounds.share(picked.select("lang").distinct().count())
+    before = F.sum(F.least("size", F.lit(most))).over(order.rowsBetween(Window.unboundedPreceding, -1))  # docs + more rows a language
+    chosen = picked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") < most) | (F.col("k") > bounds.docs))
+    keyed = chosen.groupBy("doc_id", "lang").agg(F.min("k").alias("k"))
+    rows = known.select("doc_id", "lang", F.left("text", F.lit(most)).alias("text")).join(keyed, ["doc_id", "lang"]).select("lang", "k", "text").collect()
+    drop_cut(picked)
     out: dict[str, list[str]] = {}
     size: Counter = Counter()
+    extra = []
     for r in sorted(rows, key=lambda r: (r.lang, r.k, r.text)):
-        if size[r.lang] < bounds.letters:
-            out.setdefault(r.lang, []).append(r.text[: bounds.letters])
-            size[r.lang] += len(out[r.lang][-1])
-    return out
+        if r.k > bounds.docs:
+            extra.append(r.text)
+        elif size[r.lang] < most:
+            out.setdefault(r.lang, []).append(r.text)
+            size[r.lang] += len(r.text)
+    return (out, extra) if more else out
 
 
 def predictor(samples: dict[str, list[str]], bounds: Bounds = Bounds()):
     """A column function text -> struct(lang_pred, score, rate); null counts as empty."""
     token = hash(str(sorted(samples.items())))
 
-    @F.pandas_udf("lang_pred string, score double, rate double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred: string, score: double, rate: double>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from vertexloom.llm.tokens import _slices
 
         model = held(("languages", token, bounds), lambda: Model(samples, bounds))
         for texts in batches:
-            parts = [model.predict(part) for part in _slices(texts, 1 << 19)]
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": [], "rate": []})
+            parts = [model.predict(part) for part in _slices(texts.to_pylist(), 1 << 19)]
+            lang, score, rate = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3))
+            yield pa.StructArray.from_arrays([pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64(), from_pandas=True)], ["lang_pred", "score", "rate"])
 
     return predict
 
 
 def language_query(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, bits_per_char) of every row of docs. Equal texts have equal predictions, rows that
+    repeat an id each their own. Null texts and texts without a letter are `und` with score 0; so is everything where
+    nothing is learned. A null id isn't held out and isn't learned from. Very long texts are parsed whole. An empty table
+    gives no rows; extra columns are ignored."""
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     predict = predictor(sample(docs.where(~held)))
     d = docs.select("doc_id", held.alias("held_out"), predict(F.col("text")).alias("p"))
-    return d.select("doc_id", "held_out", "p.lang_pred", "p.score", F.col("p.rate").alias("phrases_per_char"))
+    return d.select("doc_id", "held_out", "p.lang_pred", "p.score", F.col("p.rate").alias("bits_per_char"))

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -260,11 +259,11 @@ def resync_counter(*key) -> ResyncCounter:
     return held(("counts", *key), lambda: ResyncCounter(*key))
 
 
-def _slices(texts: pd.Series, most: int = 1 << 21) -> Iterator[list[str]]:
+def _slices(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str]]:
     """The texts (null: empty) in lists of about most characters."""
     part, size = [], 0
     for x in texts:
-        part.append(x if isinstance(x, str) else "")
+        part.append(x or "")
         size += len(part[-1])
         if size >= most:
             yield part
@@ -276,11 +275,11 @@ def _slices(texts: pd.Series, most: int = 1 << 21) -> Iterator[list[str]]:
 def token_count(path: str, chunk: int = 16_384, overlap: int = 256):
     """A column function text -> number of tokens of the whole text; null counts as empty: 0."""
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = resync_counter(path, chunk, overlap)
         for texts in batches:
-            yield pd.Series([n for part in _slices(texts) for n in counter.count_all(part)], dtype="int64")
+            yield pa.array([n for part in _slices(texts.to_pylist()) for n in counter.count_all(part)], pa.int64())
 
     return count
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -320,11 +320,11 @@ def learn(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
 def scorer(model: Model):
     """A column function text -> score from 0 to 1; null counts as empty. Whole texts are scored, long ones alone."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held("toxicity", lambda: model)
         for texts in batches:
-            yield pd.Series([x for part in _slices(texts, 1 << 17) for x in model.score(part)], dtype="float64")
+            yield pa.array([x for part in _slices(texts.to_pylist(), 1 << 17) for x in model.score(part)], pa.float64())
 
     return score
 
