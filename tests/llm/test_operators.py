@@ -335,7 +335,7 @@ def test_language_costs_and_bounds(spark):
     got = sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), Bounds(docs=3, letters=1000, total=90 * 700))
     assert len(got) == 90 and all(700 <= sum(map(len, v)) <= 1200 and len(v) == 2 for v in got.values())
     texts, more = sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), Bounds(docs=3), 2)
-    assert len(more) == 180 and all(len(v) == 3 for v in texts.values())
+    assert len(more) == 90 and all(len(v) == 4 for v in texts.values())
 
 
 def test_language_query(spark, sf, odd, none):

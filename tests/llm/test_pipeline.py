@@ -40,14 +40,32 @@ def test_toxicity_stage(spark, sf, inputs):
     assert sorted(want) == sorted(rows(inputs["language_id"]))
 
 
-def test_language_stage(inputs):
-    model = LanguageModel(sample(inputs["language_id"]))
-    p = {r[0]: model.predict([r[1]]).iloc[0] for r in rows(inputs["language_id"])}
-    want = [r for r in rows(inputs["language_id"]) if p[r[0]].lang_pred != "und" and p[r[0]].rate < P.FOREIGN]
+def test_language_stage(spark, inputs):
+    samples, others = sample(inputs["language_id"], more=P.LEFT_OUT)
+    model = LanguageModel(samples)
+    most = P.SPREAD * max(model.predict([t])[2][0] for t in others if len(t) >= P.LONG)
+    assert len(others) > 0 and most == P.dearest(spark, samples, others)
+    want = []
+    for r in rows(inputs["language_id"]):
+        lang, _, rate = (x[0] for x in model.predict([r[1]]))
+        if lang != "und" and rate <= most + P.FREE / len(r[1]):
+            want.append(r)
     assert sorted(want) == sorted(rows(inputs["ngram_jaccard_join"]))
     assert len(want) > 0.95 * inputs["language_id"].count()
 
 
+def test_language_stage_rejects_strangers(spark, sf):
+    """Languages that weren't learned and dumps go, though they have letters; clean documents stay."""
+    clean = table(spark, sf.replace("0.001", "0.01"), "documents").where("text is not null")
+    strange = ["kun aamulla satoi vettä niin lapset jäivät sisälle ja lukivat kirjoja takkatulen ääressä koko päivän ajan hyvillä mielin " * 3,
+               "dziś rano padał deszcz więc dzieci zostały w domu i czytały książki przy kominku przez cały długi dzień bez przerwy " * 3,
+               "zkqj xwvz qqpk jjhz vkxq zwpt xkcd qzvj wxyk pfzg vbqk jxzw kqvp zzxq wvkj " * 5]
+    odd = spark.createDataFrame([(10**9 + i, t, None, "a", len(t)) for i, t in enumerate(strange)], clean.schema)
+    kept = {r[0] for r in P.language(spark, clean.unionByName(odd), sf).select("doc_id").collect()}
+    assert not kept & {10**9 + i for i in range(len(strange))}
+    assert len(kept) > 0.97 * clean.where("text rlike '[a-zA-Z]'").count()
+
+
 def test_near_duplicate_stage(inputs):
     comp = {i: c for i, _, c in brute_jaccard([r[:2] for r in rows(inputs["ngram_jaccard_join"])])}
     want = [r for r in rows(inputs["ngram_jaccard_join"]) if comp[r[0]] == r[0]]

@@ -229,25 +229,25 @@ def parse(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: Dense
 
 def sample(docs: DataFrame, bounds: Bounds = Bounds(), more: int = 0) -> dict[str, list[str]] | tuple[dict[str, list[str]], list[str]]:
     """Labelled texts of each language, bounded as Bounds says; docs with null lang, text or id aren't among them. With
-    `more`, also texts of the next so many documents of each language, up to as many characters each.
+    `more`, every fourth of them, up to so many of each language, is left out and given beside, up to as many characters each.
 
     Texts are cut to the bound before they are collected.
     """
     known = bounded(docs).where("lang is not null and text is not null and doc_id is not null and trim(text) <> ''")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size")
     picked = known.select("doc_id", "lang", F.char_length("text").cast("long").alias("size")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= bounds.docs + more)
-    picked = cut(picked, "picked")
+    picked = cut(picked.withColumn("out", (F.col("k") % 4 == 0) & (F.col("k") <= 4 * more)), "picked")
     most = bounds.share(picked.select("lang").distinct().count())
-    before = F.sum(F.least("size", F.lit(most))).over(order.rowsBetween(Window.unboundedPreceding, -1))  # docs + more rows a language
-    chosen = picked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") < most) | (F.col("k") > bounds.docs))
-    keyed = chosen.groupBy("doc_id", "lang").agg(F.min("k").alias("k"))
-    rows = known.select("doc_id", "lang", F.left("text", F.lit(most)).alias("text")).join(keyed, ["doc_id", "lang"]).select("lang", "k", "text").collect()
+    before = F.sum(F.least("size", F.lit(most))).over(Window.partitionBy("lang", "out").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))  # docs + more rows a language
+    chosen = picked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") < most) | F.col("out"))
+    keyed = chosen.groupBy("doc_id", "lang").agg(F.min("k").alias("k"), F.bool_or("out").alias("out"))
+    rows = known.select("doc_id", "lang", F.left("text", F.lit(most)).alias("text")).join(keyed, ["doc_id", "lang"]).select("lang", "k", "out", "text").collect()
     drop_cut(picked)
     out: dict[str, list[str]] = {}
     size: Counter = Counter()
     extra = []
     for r in sorted(rows, key=lambda r: (r.lang, r.k, r.text)):
-        if r.k > bounds.docs:
+        if r.out:
             extra.append(r.text)
         elif size[r.lang] < most:
             out.setdefault(r.lang, []).append(r.text)
