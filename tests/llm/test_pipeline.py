@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,8 +44,8 @@ def test_toxicity_stage(spark, sf, inputs):
 def test_language_stage(spark, inputs):
     samples, others = sample(inputs["language_id"], more=P.LEFT_OUT)
     model = LanguageModel(samples)
-    most = P.SPREAD * max(model.predict([t])[2][0] for t in others if len(t) >= P.LONG)
-    assert len(others) > 0 and most == P.dearest(spark, samples, others)
+    most = P.SPREAD * np.quantile([model.predict([t])[2][0] for t in others if len(t) >= P.LONG], P.USUAL)
+    assert len(others) > 0 and np.isclose(most, P.dearest(spark, samples, others))
     want = []
     for r in rows(inputs["language_id"]):
         lang, _, rate = (x[0] for x in model.predict([r[1]]))
