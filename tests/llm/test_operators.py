@@ -15,7 +15,7 @@ from vertexloom.llm.common import components, may_hold, shingle_set, table
 from vertexloom.llm.fingerprints import K, bottom_k, containment, distinct_shingles, fingerprint_query, merge, merged, resemblance, with_next
 from vertexloom.llm.jaccard import Params as JaccardParams
 from vertexloom.llm.jaccard import jaccard_components
-from vertexloom.llm.langid import Bounds, SuffixAutomaton, language_query, sample
+from vertexloom.llm.langid import Bounds, SuffixAutomaton, language_query, left_out, picked, sample
 from vertexloom.llm.langid import Model as LanguageModel
 from vertexloom.llm.mixing import mix_query
 from vertexloom.llm.neardup import Params as NearParams
@@ -334,8 +334,9 @@ def test_language_costs_and_bounds(spark):
     rows = [(i, f"l{i % 90}", "word " * 100) for i in range(900)]
     got = sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), Bounds(docs=3, letters=1000, total=90 * 700))
     assert len(got) == 90 and all(700 <= sum(map(len, v)) <= 1200 and len(v) == 2 for v in got.values())
-    texts, more = sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), Bounds(docs=3), 2)
-    assert len(more) == 90 and all(len(v) == 4 for v in texts.values())
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    own = picked(df, Bounds(docs=3), 2)
+    assert left_out(df, own).count() == 90 and all(len(v) == 4 for v in sample(df, Bounds(docs=3), own).values())
 
 
 def test_language_query(spark, sf, odd, none):

@@ -10,8 +10,8 @@ import corpus_pipeline as P
 from test_operators import DOCS, ODD, brute_ids, brute_jaccard, brute_mix, crc
 from vertexloom.llm import queries as Q
 from vertexloom.llm.common import cut, table
+from vertexloom.llm.langid import Bounds, left_out, picked, sample
 from vertexloom.llm.langid import Model as LanguageModel
-from vertexloom.llm.langid import sample
 from vertexloom.llm.toxicity import learn
 
 
@@ -42,10 +42,11 @@ def test_toxicity_stage(spark, sf, inputs):
 
 
 def test_language_stage(spark, inputs):
-    samples, others = sample(inputs["language_id"], more=P.LEFT_OUT)
-    model = LanguageModel(samples)
+    own = picked(inputs["language_id"], Bounds(), P.LEFT_OUT)
+    model = LanguageModel(sample(inputs["language_id"], rows=own))
+    others = [r.text for r in left_out(inputs["language_id"], own).collect()]
+    assert len(others) == own.where("k % 4 = 0 and k <= 256").count() > 0
     most = P.SPREAD * np.quantile([model.predict([t])[2][0] for t in others if len(t) >= P.LONG], P.USUAL)
-    assert len(others) > 0 and np.isclose(most, P.dearest(spark, samples, others))
     want = []
     for r in rows(inputs["language_id"]):
         lang, _, rate = (x[0] for x in model.predict([r[1]]))

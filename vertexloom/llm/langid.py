@@ -63,29 +63,30 @@ class SuffixAutomaton:
             last = cur
 
     def table(self, width: int) -> Dense | Sparse:
-        """Transitions for symbols 0 to width - 1: where one can't follow, -1 - the state after a new phrase begins with it."""
-        root = np.zeros(width, np.int32)
+        """Transitions for symbols 0 to width - 1, from and to states times width: where a symbol can't follow, -1 - the state
+        after a new phrase begins with it."""
+        root = np.zeros(width, np.int64)
         for c, s in self.next[0].items():
-            root[c] = s
+            root[c] = s * width
         rows = np.repeat(np.arange(len(self.next)), [len(x) for x in self.next])
         cols = np.fromiter((c for x in self.next for c in x), np.int64, len(rows))
-        to = np.fromiter((s for x in self.next for s in x.values()), np.int32, len(rows))
+        to = np.fromiter((s * width for x in self.next for s in x.values()), np.int64, len(rows))
         if width > 256:
             order = np.lexsort((cols, rows))
-            return Sparse((rows * width + cols)[order], to[order], root, width)
+            return Sparse((rows * width + cols)[order], to[order], root)
         t = np.empty((len(self.next), width), np.int32)
         t[:] = -1 - root
         t[rows, cols] = to
-        return Dense(t.ravel(), width)
+        return Dense(t.ravel())
 
 
 @dataclass
 class Dense:
     flat: np.ndarray
-    width: int
+    kind = np.int32
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        return self.flat[state * np.int32(self.width) + symbol]
+        return self.flat[state + symbol]
 
 
 @dataclass
@@ -95,10 +96,10 @@ class Sparse:
     keys: np.ndarray
     to: np.ndarray
     root: np.ndarray
-    width: int
+    kind = np.int64
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        key = state.astype(np.int64) * self.width + symbol
+        key = state + symbol
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.to[at], -1 - self.root[symbol])
 
@@ -173,39 +174,46 @@ def parse(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: Dense
     owner = np.repeat(np.arange(len(starts)), n)
     begin = starts[owner] + (np.arange(int(n.sum())) - first[owner]) * w
     stop = np.minimum(begin + w, ends[owner])
-    begins = np.zeros(len(codes) + 1, np.int64)  # 1 where a window's own parse begins a phrase
-    begins[begin] = 1
-    last = np.zeros(len(begin), np.int32)
+    begins = np.zeros(len(codes) + 1, bool)  # where a window's own parse begins a phrase
+    last = np.zeros(len(begin), table.kind)
+    padded = np.concatenate([codes, np.zeros(w, codes.dtype)])
+    sign = np.dtype(table.kind).itemsize * 8 - 1
     order = np.argsort(begin - stop, kind="stable")  # full windows first
     for lo in range(0, len(order), 4096):
         part = order[lo : lo + 4096]
-        at, size = begin[part], (stop - begin)[part]
-        state = np.zeros(len(part), np.int32)
-        for j in range(w):
-            m = int(np.searchsorted(-size, -j, side="left"))
+        places = begin[part] + np.arange(w)[:, None]
+        grid, size = padded[places], (stop - begin)[part]
+        live = np.searchsorted(-size, -np.arange(w), side="left")
+        state, missed = np.zeros(len(part), table.kind), np.zeros(grid.shape, bool)
+        for j, m in enumerate(live.tolist()):
             if not m:
                 break
-            to = table.step(state[:m], codes[at[:m] + j])
-            missed = to < 0
-            begins[at[:m][missed] + j] = 1
-            state[:m] = np.where(missed, -1 - to, to)
+            to = table.step(state[:m], grid[j, :m])
+            below = to >> sign  # -1 where a phrase begins, else 0
+            missed[j, :m] = below
+            np.bitwise_xor(to, below, out=state[:m])
+        missed[0] = True
+        begins[places[missed]] = True
         last[part] = state
     so_far = np.concatenate([[0], np.cumsum(begins)])
     extra, meets = np.zeros(len(begin), np.int64), stop.copy()
     live = np.flatnonzero(stop < ends[owner])
-    state = last[live]
+    state, p, end, more = last[live], stop[live], ends[owner[live]], np.zeros(len(live), np.int64)
     for _ in range(8 * w):
         if not len(live):
             break
-        p = meets[live]
         to = table.step(state, codes[p])
-        missed = to < 0
-        met = missed & (begins[p] == 1)
-        extra[live[missed & ~met]] += 1
-        meets[live[~met]] += 1
-        go = ~met & (p + 1 < ends[owner[live]])
-        state = np.where(missed, -1 - to, to)[go]
-        live = live[go]
+        below = to >> sign
+        state = to ^ below
+        met = (below < 0) & begins[p]
+        more -= below
+        p += 1
+        done = met | (p >= end)
+        if done.any():
+            own = live[done]
+            meets[own], extra[own] = p[done] - met[done], more[done] - met[done]
+            go = ~done
+            live, state, p, end, more = live[go], state[go], p[go], end[go], more[go]
     hard = np.unique(owner[live])
     total = np.zeros(len(starts), np.int64)
     text = np.flatnonzero(n)
@@ -218,7 +226,7 @@ def parse(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: Dense
         text, at = text[more], at[more]
         window = first[text] + (at - starts[text]) // w
     for t in hard.tolist():
-        state = np.zeros(1, np.int32)
+        state = np.zeros(1, table.kind)
         for p in range(int(starts[t]), int(ends[t])):
             to = table.step(state, codes[p : p + 1])
             if to[0] < 0 or p == starts[t]:
@@ -227,32 +235,41 @@ def parse(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: Dense
     return total
 
 
-def sample(docs: DataFrame, bounds: Bounds = Bounds(), more: int = 0) -> dict[str, list[str]] | tuple[dict[str, list[str]], list[str]]:
-    """Labelled texts of each language, bounded as Bounds says; docs with null lang, text or id aren't among them. With
-    `more`, every fourth of them, up to so many of each language, is left out and given beside, up to as many characters each.
-
-    Texts are cut to the bound before they are collected.
-    """
-    known = bounded(docs).where("lang is not null and text is not null and doc_id is not null and trim(text) <> ''")
+def picked(docs: DataFrame, bounds: Bounds, more: int = 0) -> DataFrame:
+    """Rows (doc_id, lang, size, k, out) of the labelled documents that are looked at: of each language the first by hash,
+    numbered k. With `more`, every fourth is left out of what is learned, up to so many of a language, and has out true."""
+    known = bounded(docs).where(_LABELLED)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size")
-    picked = known.select("doc_id", "lang", F.char_length("text").cast("long").alias("size")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= bounds.docs + more)
-    picked = cut(picked.withColumn("out", (F.col("k") % 4 == 0) & (F.col("k") <= 4 * more)), "picked")
-    most = bounds.share(picked.select("lang").distinct().count())
-    before = F.sum(F.least("size", F.lit(most))).over(Window.partitionBy("lang", "out").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))  # docs + more rows a language
-    chosen = picked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") < most) | F.col("out"))
-    keyed = chosen.groupBy("doc_id", "lang").agg(F.min("k").alias("k"), F.bool_or("out").alias("out"))
-    rows = known.select("doc_id", "lang", F.left("text", F.lit(most)).alias("text")).join(keyed, ["doc_id", "lang"]).select("lang", "k", "out", "text").collect()
-    drop_cut(picked)
+    first = known.select("doc_id", "lang", F.char_length("text").cast("long").alias("size")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= bounds.docs + more)
+    return cut(first.withColumn("out", (F.col("k") % 4 == 0) & (F.col("k") <= 4 * more)), "picked")
+
+
+_LABELLED = "lang is not null and text is not null and doc_id is not null and trim(text) <> ''"
+
+
+def sample(docs: DataFrame, bounds: Bounds = Bounds(), rows: DataFrame | None = None) -> dict[str, list[str]]:
+    """Labelled texts of each language, bounded as Bounds says; docs with null lang, text or id aren't among them. rows: what
+    picked() gave. Texts are cut to the bound before they are collected."""
+    own = picked(docs, bounds) if rows is None else rows
+    most = bounds.share(own.select("lang").distinct().count())
+    before = F.sum(F.least("size", F.lit(most))).over(Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))  # a few hundred rows each
+    chosen = own.where("not out").withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most)
+    keyed = chosen.groupBy("doc_id", "lang").agg(F.min("k").alias("k"))
+    texts = docs.where(_LABELLED).select("doc_id", "lang", F.left("text", F.lit(most)).alias("text")).join(keyed, ["doc_id", "lang"]).select("lang", "k", "text").collect()
+    if rows is None:
+        drop_cut(own)
     out: dict[str, list[str]] = {}
     size: Counter = Counter()
-    extra = []
-    for r in sorted(rows, key=lambda r: (r.lang, r.k, r.text)):
-        if r.out:
-            extra.append(r.text)
-        elif size[r.lang] < most:
+    for r in sorted(texts, key=lambda r: (r.lang, r.k, r.text)):
+        if size[r.lang] < most:
             out.setdefault(r.lang, []).append(r.text)
             size[r.lang] += len(r.text)
-    return (out, extra) if more else out
+    return out
+
+
+def left_out(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(text) of the documents that picked() left out."""
+    return docs.where(_LABELLED).select("doc_id", "lang", "text").join(rows.where("out").select("doc_id", "lang").distinct(), ["doc_id", "lang"]).select("text")
 
 
 def predictor(samples: dict[str, list[str]], bounds: Bounds = Bounds()):
