@@ -19,7 +19,7 @@ from vertexloom.llm.langid import Bounds, SuffixAutomaton, language_query, left_
 from vertexloom.llm.langid import Model as LanguageModel
 from vertexloom.llm.mixing import mix_query
 from vertexloom.llm.neardup import Params as NearParams
-from vertexloom.llm.neardup import near_duplicates
+from vertexloom.llm.neardup import codes, near_duplicates
 from vertexloom.llm.packing import Layout, pack, pack_query
 from vertexloom.llm.sharding import Ring, pieces, shard, shard_query
 from vertexloom.llm.tokenfile import PerfectHash, lookup, read_container, write_container
@@ -382,6 +382,42 @@ def test_near_duplicates(spark, sf):
     assert near_duplicates(df.where("false")).count() == 0
 
 
+def test_near_duplicates_in_double(spark):
+    """Doubles beyond the range and precision of floats, and other types of components."""
+    c = 0.95
+    rows = [(1, [1e39, 1e39]), (2, [2e39, 2e39]), (3, [1.0, 0.0]), (4, [c + 1e-10, (1 - (c + 1e-10) ** 2) ** 0.5]), (5, [0.0, -1.0]), (6, [-(1 - (c - 1e-10) ** 2) ** 0.5, -(c - 1e-10)]), (7, [1e-300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (0, 5), 6: (0, 6), 7: (2, 3)}
+    whole = spark.createDataFrame([(3, [1, 0]), (5, [0, -1])], "vec_id int, embedding array<int>")
+    assert sorted(tuple(r) for r in near_duplicates(whole).collect()) == [(3, 0, 3, True), (5, 0, 5, True)]
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 16))
+    x = np.concatenate([x, x[:150] + 0.07 * rng.normal(size=(150, 16)), 1e200 * x[:20]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.abs(x).max(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    n = ((u @ u.T) >= 0.95).sum(1) - 1
+    got = [r.n_links for r in near_duplicates(df).orderBy("vec_id").collect()]
+    assert sum(got) >= 0.99 * n.sum() and all(a <= b for a, b in zip(got, n))
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4, 5, 6])
+def test_near_duplicate_recall(width):
+    """At each width that may be chosen, enough tables bring together fresh pairs at the threshold."""
+    p = NearParams(width=width).sized(10**9, 64)
+    assert p.width == width
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(400, 64))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    (hx, px), (hy, py) = codes(x, p), codes(y, p)
+    met = (hx == hy) | (px == hy[:, :, None]).any(axis=2) | (py == hx[:, :, None]).any(axis=2)
+    assert met.any(axis=1).mean() >= 0.97
+
+
 def test_token_files(spark, docs, odd, none):
     path = Q.tokenizer("word_bpe_49k.json")
     for d in (docs, odd):

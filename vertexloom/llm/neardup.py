@@ -4,34 +4,54 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from vertexloom.llm.common import components, cut, trimmed
 
 
 @dataclass(frozen=True)
 class Params:
-    """tables of codes of `width` cross-polytope hashes each (0: by the number of vectors, about `fill` in a bucket);
-    each vector also probes its `probes` next likely buckets. Buckets of more than `block` entries are compared in
-    blocks of about so many."""
+    """tables of codes of `width` cross-polytope hashes each; each vector also probes its `probes` next likely buckets. Width
+    0: by the number of vectors, so that strangers seldom meet (`sparse` buckets for each vector). Tables 0: as many, ten
+    at least, as bring together the share `recall` of pairs at cosine `least`, by trial on made-up pairs, at any width.
+    Buckets of more than `block` entries are compared in blocks of about so many."""
 
     least: float = 0.95
-    tables: int = 10
+    tables: int = 0
     width: int = 0
     probes: int = 2
-    fill: int = 8
+    sparse: float = 4.0
+    recall: float = 0.995
     block: int = 1024
     seed: int = 11
 
     def sized(self, n: int, dim: int) -> Params:
         d = 1 << max(0, dim - 1).bit_length()
-        width = self.width or max(1, min(6, round(math.log(max(2.0, n / self.fill)) / math.log(2.0 * d))))
-        return Params(self.least, self.tables, width, self.probes, self.fill, self.block, self.seed)
+        wide = math.ceil(math.log(max(2.0, n * self.sparse)) / math.log(2.0 * d))
+        width = self.width or max(1, min(6, wide, 56 // (d.bit_length())))  # a bucket's number has 57 bits
+        p = replace(self, width=width, tables=self.tables or 10)
+        if not self.tables and dim > 1:
+            met = p.meeting(dim)
+            while (1 - met) ** p.tables > 1 - self.recall and p.tables < 64:
+                p = replace(p, tables=p.tables + 1)
+        return p
+
+    def meeting(self, dim: int, pairs: int = 500, tables: int = 4) -> float:
+        """The share of pairs at cosine `least` that meet in a table."""
+        rng = np.random.Generator(np.random.PCG64(self.seed + 1))
+        x, y = rng.normal(size=(2, pairs, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = self.least * x + math.sqrt(1 - self.least**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        (hx, px), (hy, py) = codes(x, replace(self, tables=tables)), codes(y, replace(self, tables=tables))
+        return float(((hx == hy) | (px == hy[:, :, None]).any(axis=2) | (py == hx[:, :, None]).any(axis=2)).mean())
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -160,49 +180,52 @@ def near_duplicates(vectors: DataFrame, params: Params = Params()) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding).
 
     Two vectors link when hashing brings them together and their cosine in double precision is at least params.least;
-    vectors of different lengths never do. Vectors that are null, empty or zero, or hold null or non-finite components,
-    link with nothing. Equal vectors are one class with a count: they link with each other without being compared, and
-    only one of them is hashed. A null vec_id links with nothing either (component_id null, kept false). Rows that repeat
-    a vec_id are one vector to the components.
-
-    Entries (a vector in its own bucket, and in those it probes) are shuffled by bucket; a bucket of many entries is
-    split into parts, and each pair of parts is a block of its own, so that no task holds more than two parts. A block
-    gives for each vector the number of its links and one edge to its root, never the pairs themselves.
+    vectors of different lengths never do. Components of type float stay so until they are compared, all others are
+    doubles. Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing. Equal
+    vectors (by 128 bits of hash) are one class with a count: they link with each other without being compared, and only
+    one of them is hashed. A null vec_id links with nothing either (component_id null, kept false). Rows that repeat a
+    vec_id are one vector to the components. An empty table gives no rows; extra columns are ignored.
+
+    Entries (a vector in its own bucket, and in those it probes) are narrow rows, written once. Only those of buckets in
+    which vectors meet are joined with their vectors and shuffled by bucket; a bucket of many entries is split into
+    parts, and each pair of parts is a block of its own, so that no task holds more than two parts. A block gives for
+    each vector the number of its links and one edge to its root, never the pairs themselves.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e"))
+    kind = vectors.schema["embedding"].dataType
+    kind = "array<float>" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("e"))
     fine = F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)
     fine &= F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("e", lambda v: v != 0)
-    valid = rows.where(F.coalesce(fine, F.lit(False)))
-    classes = cut(valid.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    valid = rows.where(F.coalesce(fine, F.lit(False))).withColumns({"h1": F.xxhash64("e"), "h2": F.xxhash64(F.lit(7), "e")})
+    classes = valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("e").alias("e"))
+    classes = cut(classes.withColumn("uid", F.monotonically_increasing_id()), "classes")
     dims = [(r.dim, r.n) for r in classes.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n")).collect()]
     sized = {d: params.sized(n, d) for d, n in dims}
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.array([len(x) for x in batch.column("e")], np.int64)
+        for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
+            size = pc.list_value_length(batch.column("e")).to_numpy(zero_copy_only=False)
             for dim in np.unique(size):
                 part = batch.take(pa.array(np.flatnonzero(size == dim)))
                 p = sized[int(dim)]
-                x = _unit(matrix(part.column("e"), int(dim)))
-                home, probes = codes(x, p)
-                own = np.repeat(np.arange(len(x)), p.tables * (1 + p.probes))
-                number = np.concatenate([home[:, :, None], probes], axis=2).reshape(-1)
-                table = np.tile(np.repeat(np.arange(p.tables), 1 + p.probes), len(x))
-                at_home = np.tile(np.arange(1 + p.probes) == 0, len(x) * p.tables)
-                ok = number >= 0
-                own, number, table, at_home = own[ok], number[ok], table[ok], at_home[ok]
-                out = part.take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), dim, np.int32)), pa.array(table.astype(np.int32)), pa.array(number), pa.array(at_home), out.column("rep"), out.column("copies"), out.column("e")], ["dim", "t", "number", "home", "vec_id", "copies", "e"])
-
-    entries = classes.select("rep", "copies", "e").mapInArrow(trimmed(enter), "dim int, t int, number long, home boolean, vec_id long, copies long, e array<float>")
-    bucket = ["dim", "t", "number"]
-    light = classes.select("rep", "copies", "e").mapInArrow(trimmed(enter), "dim int, t int, number long, home boolean, vec_id long, copies long, e array<float>").select(*bucket)
-    full = light.groupBy(*bucket).count().where(F.col("count") > params.block).select(*bucket, F.ceil(F.col("count") / params.block).cast("int").alias("parts"))
-    entries = entries.join(full, bucket, "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("vec_id"), F.col("parts").cast("long"))).cast("int"))
-    others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    blocks = entries.withColumn("other", F.explode(others))
-    blocks = blocks.select(*bucket, "home", "vec_id", "copies", "e", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    key = [*bucket, "lo", "hi"]
+                home, probes = codes(_unit(matrix(part.column("e"), int(dim))), p)
+                number = np.concatenate([home[:, :, None], probes], axis=2)
+                at = np.where(number >= 0, number * 64 + np.arange(p.tables)[None, :, None], -1).reshape(-1)
+                uid = part.column("uid").to_numpy()[:, None, None] * 2 + (np.arange(1 + p.probes) == 0)  # odd: at home
+                uid = np.broadcast_to(uid, number.shape).reshape(-1)
+                ok = at >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(ok.sum()), dim, np.int32)), pa.array(at[ok]), pa.array(uid[ok])], ["dim", "at", "member"])
+
+    entries = cut(classes.select("uid", "e").mapInArrow(trimmed(enter), "dim int, at long, member long"), "entries")
+    bucket = ["dim", "at"]
+    some = entries.groupBy(*bucket).agg(F.count("*").alias("n"), F.max(F.col("member") % 2).alias("home")).where("n > 1 and home = 1")
+    live = entries.join(some.select(*bucket, F.ceil(F.col("n") / params.block).cast("int").alias("parts")), bucket)
+    live = live.select(*bucket, "parts", F.expr("member div 2").alias("uid"), (F.col("member") % 2 == 1).alias("home"))
+    live = live.withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts").cast("long")).cast("int"))
+    blocks = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = blocks.select("dim", (F.col("at") % 64).cast("int").alias("t"), F.expr("at div 64").alias("number"), "uid", "home", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    blocks = blocks.join(classes.select("uid", F.col("rep").alias("vec_id"), "copies", "e"), "uid").drop("uid")
+    key = ["dim", "t", "number", "lo", "hi"]
 
     def columns(block: pa.RecordBatch, dim: int) -> dict:
         out = {c: block.column(c).to_numpy(zero_copy_only=False) for c in ("t", "number", "home", "part", "vec_id", "copies")}
@@ -239,7 +262,7 @@ def near_duplicates(vectors: DataFrame, params: Params = Params()) -> DataFrame:
     links = cut(blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(trimmed(compare), "a long, b long, n long"), "links")
     joined = components(links)
     count = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    member = valid.join(classes, "e").select("vec_id", "rep", "copies")
+    member = valid.select("vec_id", "h1", "h2").join(classes.select("h1", "h2", "rep", "copies"), ["h1", "h2"]).select("vec_id", "rep", "copies")
     member = member.join(count, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     known = member.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     rest = rows.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
