@@ -81,11 +81,19 @@ class _Bins:
     runs: list[tuple[int, int]] = field(default_factory=list)
 
 
-def pack(histogram: dict[int, int], room: int = 4096, classes: int = 64, few: int = 4) -> list[tuple[int, list[tuple[int, int]]]]:
+def pack(histogram: dict[int, int], room: int = 4096, classes: tuple[int, ...] = (64, 128, 256), few: tuple[int, ...] = (4, 3, 3)) -> list[tuple[int, list[tuple[int, int]]]]:
     """The layout: (number of sequences, [(length, pieces of it in each sequence), ...]); every piece has its place.
 
-    classes: lengths are rounded up to room / classes for the patterns; few: the most pieces in a pattern.
+    classes: lengths are rounded up to room / classes for the patterns; few: the most pieces in a pattern. Each pair of
+    them is a fit of its own, and so are its counts halved, which leaves more to the residual; the layout of the fewest
+    sequences is kept. The fit of no pattern is among them, so none is worse than best fit alone.
     """
+    tried = [_pack(histogram, room, c, f, share) for c, f in zip(classes, few) for share in (1.0, 0.5)] + [_pack(histogram, room, 1, 1, 0.0)]
+    return min(tried, key=lambda packed: sum(count for count, _ in packed))
+
+
+def _pack(histogram: dict[int, int], room: int, classes: int, few: int, share: float) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Patterns of a share of their fitted counts, and best fit for what is left."""
     left = {n: c for n, c in histogram.items() if 0 < n <= room and c}
     step = room / classes
     of = lambda n: min(classes, int(np.ceil(n / step)))
@@ -101,18 +109,26 @@ def pack(histogram: dict[int, int], room: int = 4096, classes: int = 64, few: in
             for c in p:
                 a[c, k] += 1
         weight = np.where(np.arange(classes + 1) >= long, 1.0, 0.0) / np.sqrt(np.maximum(b, 1.0))
-        x = np.floor(nnls(a * weight[:, None], b * weight) + 1e-6).astype(int)
+        x = np.floor(share * nnls(a * weight[:, None], b * weight) + 1e-6).astype(int)
         by_class = {c: sorted((n for n in left if of(n) == c), reverse=True) for c in range(1, classes + 1)}
+        lengths = sorted(left)
         for k in np.argsort([-p[0] for p in found], kind="stable"):
             todo = int(x[k])
             while todo > 0:  # the longest pieces of each class, as many sequences alike as there are
                 taken: dict[int, int] = {}
-                for c in found[k]:
+                for c in found[k][:-1]:
                     n = next((n for n in by_class[c] if left[n] > taken.get(n, 0)), None)
                     if n is None:
                         break
                     taken[n] = taken.get(n, 0) + 1
-                else:
+                else:  # rounding up has left room: the last piece is the longest that fits, be it of a class above
+                    free = room - sum(n * m for n, m in taken.items())
+                    at = bisect.bisect_right(lengths, free) - 1
+                    while at >= 0 and left[lengths[at]] <= taken.get(lengths[at], 0):
+                        at -= 1
+                    if at < 0 or of(lengths[at]) < found[k][-1]:
+                        break
+                    taken[lengths[at]] = taken.get(lengths[at], 0) + 1
                     count = min(todo, *(left[n] // m for n, m in taken.items()))
                     bins.append(_Bins(count, room - sum(n * m for n, m in taken.items()), sorted(taken.items(), reverse=True)))
                     for n, m in taken.items():
