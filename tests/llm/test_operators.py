@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on a synthetic table and on the odd cases its docstring defines."""
 
+import bisect
 import functools
 import hashlib
 import re
@@ -287,6 +288,33 @@ def test_pack_histogram():
         assert (np.where(np.diff(s) > 0, 0, e[:-1]) == o[1:]).all() and o[0] == 0 and e.max() <= 4096
 
 
+def best_fit(lengths, room):
+    """Sequences of plain best fit, longest first, piece by piece."""
+    gaps, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, x)
+        gap = gaps.pop(k) if k < len(gaps) else room
+        n += gap == room
+        bisect.insort(gaps, gap - x) if gap > x else None
+    return n
+
+
+def test_packing_is_no_worse_than_best_fit():
+    rng = np.random.default_rng(6)
+    kinds = [np.clip(rng.lognormal(6.5, 0.9, 20000), 1, 4096), np.clip(rng.lognormal(7.2, 0.4, 9000), 1, 4096), rng.integers(1, 4097, 5000), rng.integers(1100, 1500, 3000), rng.choice([2049, 2047, 1366, 1365, 900], 4000), np.full(50, 4096)]
+    for x in kinds:
+        h = Counter(x.astype(int).tolist())
+        packed = pack(h)
+        used = Counter()
+        for count, runs in packed:
+            assert sum(n * m for n, m in runs) <= 4096
+            for n, m in runs:
+                used[n] += count * m
+        assert used == h
+        n = sum(c for c, _ in packed)
+        assert -(-int(x.astype(int).sum()) // 4096) <= n <= best_fit(x.astype(int).tolist(), 4096)
+
+
 def test_suffix_automaton():
     text = "abracadabra abrakadabra"
     a = SuffixAutomaton([ord(c) - 32 for c in text])
@@ -436,6 +464,26 @@ def test_token_files(spark, docs, odd, none):
     assert read_container(write_container(none, path)).count() == 0
 
 
+def test_token_files_spread_repeated_ids(spark):
+    path = Q.tokenizer("word_bpe_49k.json")
+    d = spark.createDataFrame([(7 if k % 3 else (k if k % 2 else None), f"word {k % 50} " * (k % 9)) for k in range(3000)], "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        box = write_container(d, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted((tuple(r) for r in read_container(box).collect()), key=lambda r: r[1])
+    want = Counter((r.doc_id, len(ids), crc(ids)) for r in d.collect() for ids in [brute_ids(path, r.text, 2)])
+    assert Counter((i, n, c) for i, _, n, c in got) == want
+    assert [i for i, *_ in got] == sorted((i for i, *_ in got), key=lambda i: (i is None, i))
+    at = 0
+    for _, start, n, _ in got:
+        assert start == at
+        at += n
+    sizes = [r["count"] for r in box.groupBy("part").agg(F.sum("n_docs").alias("count")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(4)
     for n in (1, 2, 3, 10, 1000, 4096):

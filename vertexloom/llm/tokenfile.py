@@ -126,8 +126,9 @@ class Block:
 def write_container(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Encodes every whole text of docs (null: empty), appends end_id, and writes the container to the shared folder.
 
-    Rows with equal ids keep their own entries (repetition 0, 1, ... by text), null ids come last. A table without rows
-    gives a container without rows. The texts are shuffled once, by ranges of the id, and encoded after that.
+    Rows with equal ids keep their own entries (repetition 0, 1, ... by the text's hash), null ids come last. A table without
+    rows gives a container without rows. The texts are shuffled once, by ranges of id, hash and row, so that an id that
+    many rows have goes to several parts, in each of which repetitions count from 0. They are encoded after that.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +160,9 @@ def write_container(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFra
     arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("n_docs", pa.int32()),
                        *((c, pa.binary()) for c in ("payload", "keys", "seeds", "prints", "slots"))])
     d = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = d.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    d = d.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_last(), "hash", "row"]
+    ordered = d.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return cut(ordered.mapInArrow(trimmed(run), SCHEMA), "tokens")
 
 
@@ -202,7 +205,8 @@ def read_container(container: DataFrame) -> DataFrame:
 
 
 def lookup(container: DataFrame, doc_ids: list[int], repetition: int = 0) -> DataFrame:
-    """Rows (doc_id, ids) for those of the given ids that the container holds; blocks that can't hold one aren't read."""
+    """Rows (doc_id, ids) for those of the given ids that the container holds; blocks that can't hold one aren't read. Of an
+    id that lies in several parts, the entry of that repetition in each."""
     hit = F.lit(False)
     for i in doc_ids:
         hit = hit | ((F.col("first") <= i) & (F.col("last") >= i))
