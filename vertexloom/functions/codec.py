@@ -111,7 +111,7 @@ def decompress(words: np.ndarray) -> np.ndarray:
         width, n = int(w[at]) >> 24, int(w[at]) & MAX_BLOCK
         if width not in (1, 2, 4):
             raise ValueError(f"no block has deltas of {width} bytes")
-        deltas = np.frombuffer(w[at + 2 :].tobytes()[: width * (n - 1)], f"<u{width}").astype(np.int64)
+        deltas = np.frombuffer(w[at + 2 : at + 2 - (-width * (n - 1) // 4)].tobytes()[: width * (n - 1)], f"<u{width}").astype(np.int64)
         out.append(int(w[at + 1]) + np.concatenate([[0], np.cumsum(deltas)]))
         at += 2 + -(-width * (n - 1) // 4)
     return np.concatenate(out)

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from vertexloom.plans.shared import checkpointed
+from vertexloom.plans.shared import checkpointed, drop_checkpoint
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], most: int) -> tuple[DataFrame, int]:
     """(final state, rounds): state = step(state, round) while a row has `active`.
 
     Each round's state is checkpointed in the shared folder, since plans would double in size with each round; the same
-    job counts the active rows. Raises RuntimeError if a row is still active after `most` rounds.
+    job counts the active rows. The state before it is deleted then. Raises RuntimeError if a row is still active after `most` rounds.
     """
 
     def settled(df: DataFrame) -> tuple[DataFrame, int]:
@@ -27,6 +27,8 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], most:
     while active:
         if rounds >= most:
             raise RuntimeError(f"{active} vertices are still active after {rounds} rounds")
-        state, active = settled(step(state, rounds))
+        before = state
+        state, active = settled(step(before, rounds))
+        drop_checkpoint(before)
         rounds += 1
     return state, rounds

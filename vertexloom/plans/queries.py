@@ -13,7 +13,7 @@ from vertexloom.graph import Graph
 from vertexloom.operators import frontier
 from vertexloom.operators.edge_map import active_edges, edge_map, vertex_map
 from vertexloom.plans import algorithms as alg
-from vertexloom.plans.shared import shared_dir
+from vertexloom.plans.shared import shared_dir, written
 from vertexloom.sources import csr, edgelist
 
 # -- graphs ------------------------------------------------------------------------------------------------------------
@@ -42,15 +42,15 @@ def supp_chain_edges(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
 
 
 def cust_part(s: SparkSession, d: str) -> Graph:
-    return Graph.from_edges(cust_part_edges(s, d))
+    return Graph.from_edges(written(cust_part_edges(s, d), "edges"))
 
 
 def cust_part_sparse(s: SparkSession, d: str) -> Graph:
-    return Graph.from_edges(cust_part_edges(s, d, sparse=True))
+    return Graph.from_edges(written(cust_part_edges(s, d, sparse=True), "edges"))
 
 
 def supp_chain(s: SparkSession, d: str, whole: bool = False) -> Graph:
-    return Graph.from_edges(supp_chain_edges(s, d, whole))
+    return Graph.from_edges(written(supp_chain_edges(s, d, whole), "edges"))
 
 
 _CUST_PART = "SELECT o_custkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
@@ -201,6 +201,28 @@ def _csr(s: SparkSession, d: str, kind: str, whole: bool = False) -> DataFrame:
     return csr.read_csr(s, path)
 
 
+def _csr_bfs(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """Breadth-first search over a graph opened from its files; edges of every line item."""
+    path = f"{shared_dir(s)}/csr-{uuid.uuid4().hex}"
+    csr.write_csr(supp_chain(s, d, True), path, kind)
+    return alg.bfs(csr.open_graph(s, path), 0).select("id", "distance")
+
+
+def _csr_frontier(s: SparkSession, d: str) -> DataFrame:
+    """Messages of the vertices of one id in 64 that have out-edges, from the blocks of the files that hold them."""
+    path = f"{shared_dir(s)}/csr-{uuid.uuid4().hex}"
+    g = cust_part(s, d)
+    csr.write_csr(g, path, "delta")
+    active = g.out_degrees().where("id % 64 = 0 and degree > 0").select("id")
+    return edge_map(csr.active_edges(s, path, active, 64), F.count("*")).select(F.col("id").alias("dst"), F.col("message").alias("messages"))
+
+
+def _csr_degrees(s: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(s)}/csr-{uuid.uuid4().hex}"
+    csr.write_csr(cust_part(s, d), path, "delta")
+    return csr.read_degrees(s, path)
+
+
 def _text_roundtrip(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
     path = f"{shared_dir(s)}/text-{uuid.uuid4().hex}"
     edgelist.write_edges(supp_chain_edges(s, d, whole), path)
@@ -254,6 +276,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csr_roundtrip": lambda s, d: _csr(s, d, "raw"),
     "csr_delta_roundtrip": lambda s, d: _csr(s, d, "delta"),
     "dump_edges": lambda s, d: edgelist.edge_lines(supp_chain_edges(s, d)),
+    "csr_bfs_levels": lambda s, d: _csr_bfs(s, d, "raw"),
+    "csr_delta_bfs_levels": lambda s, d: _csr_bfs(s, d, "delta"),
+    "csr_frontier_messages": _csr_frontier,
+    "csr_delta_degrees": _csr_degrees,
 }
 
 #: The queries over a part of the line items, over all of them.
@@ -324,3 +350,6 @@ FROM ({_DELTAS}) WHERE place <= 10 GROUP BY src"""),
     "dump_edges": f"SELECT src || ' ' || dst AS line FROM ({_CHAIN})",
 }
 ORACLES |= {f"{name}_whole": ORACLES[name].replace(_SPARSE, _CUST_PART).replace(_CHAIN, _CHAIN.replace(" WHERE l_quantity >= 49", "")) for name in WHOLE}
+ORACLES |= dict.fromkeys(("csr_bfs_levels", "csr_delta_bfs_levels"), ORACLES["bfs_levels_whole"])
+ORACLES["csr_frontier_messages"] = _with(_CUST_PART, "SELECT dst, count(*)::BIGINT AS messages FROM e WHERE src % 64 = 0 GROUP BY dst")
+ORACLES["csr_delta_degrees"] = ORACLES["out_degree"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return said.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what is used more than once is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_checkpoint(df: DataFrame) -> None:
+    """Deletes the files behind a frame that checkpointed() returned."""
+    spark = df.sparkSession
+    where = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if where.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(where.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder, its partitioning kept: a lost executor costs nothing, and plans start here.
 

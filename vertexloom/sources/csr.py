@@ -175,6 +175,8 @@ class CsrReader(DataSourceReader):
         self.path, self.codec = options.get("path"), options.get("codec")
         self.idx, self.adj, self.step = options.get("idx"), options.get("adj"), int(options.get("verticesPerPartition", READ_VERTICES))
         self.lo, self.hi = int(options.get("srcFrom", 0)), int(options.get("srcTo", 2**32))
+        self.only = {int(x) for x in options["blocks"].split(",") if x} if "blocks" in options else None
+        self.degrees = options.get("degrees") == "true"
 
     def partitions(self) -> list[_Slice]:
         if self.path:
@@ -192,7 +194,17 @@ class CsrReader(DataSourceReader):
         out = []
         for idx, adj, start, n, words in files:
             lo, hi = max(0, self.lo - start), min(n, self.hi - start)
-            out += [_Slice(idx, adj, start, n, words, k, min(hi, k + self.step)) for k in range(lo, hi, self.step)]
+            if self.only is None:
+                out += [_Slice(idx, adj, start, n, words, k, min(hi, k + self.step)) for k in range(lo, hi, self.step)]
+                continue
+            runs: list[list[int]] = []  # blocks that follow each other are read as one
+            for b in sorted(b for b in self.only if lo < (b + 1) * self.step - start and b * self.step - start < hi):
+                at, end = max(lo, b * self.step - start), min(hi, (b + 1) * self.step - start)
+                if runs and runs[-1][1] == at and end - runs[-1][0] <= READ_VERTICES:
+                    runs[-1][1] = end
+                else:
+                    runs.append([at, end])
+            out += [_Slice(idx, adj, start, n, words, at, end) for at, end in runs]
         self.read_codec = self.codec
         return out
 
@@ -201,6 +213,9 @@ class CsrReader(DataSourceReader):
         more = part.hi < part.vertices  # the place after the last list is in the index, or is the end of the file
         at = np.frombuffer(_read(part.idx, part.lo * 8, (part.hi - part.lo + more) * 8), "<u8").astype(np.int64)
         ends = at if more else np.append(at, part.words)
+        if self.degrees:
+            yield self._degrees(part, ends, delta)
+            return
         group = 1 << 20  # words in memory at once, but for longer lists
         v = 0
         while v < part.hi - part.lo:
@@ -217,6 +232,17 @@ class CsrReader(DataSourceReader):
             v = stop
 
 
+    def _degrees(self, part: _Slice, ends: np.ndarray, delta: bool) -> pa.RecordBatch:
+        """The length of each list: what its first word says with the delta codec, else the distance of offsets."""
+        n = np.diff(ends)
+        if delta and n.any():
+            system, where = _open(part.adj)
+            full = np.flatnonzero(n)
+            with system.open_input_file(where) as f:
+                n[full] = [int.from_bytes(f.read_at(4, int(at) * 4), "little") for at in ends[full]]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(part.lo, part.hi) + part.vertex_start), pa.array(n.astype(np.int64))], ["id", "degree"])
+
+
 class CsrDataSource(DataSource):
     """spark.read.format("csr").load(folder), or with options idx and adj for one pair of files."""
 
@@ -225,7 +251,7 @@ class CsrDataSource(DataSource):
         return "csr"
 
     def schema(self) -> str:
-        return "src long, dst long"
+        return "id long, degree long" if self.options.get("degrees") == "true" else "src long, dst long"
 
     def reader(self, schema) -> CsrReader:
         return CsrReader(self.options)
@@ -240,3 +266,31 @@ def read_csr(spark: SparkSession, path: str | None = None, idx: str | None = Non
     spark.dataSource.register(CsrDataSource)
     r = spark.read.format("csr").option("srcFrom", src_from).option("srcTo", src_to)
     return r.load(path) if path else r.option("idx", idx).option("adj", adj).load()
+
+
+def read_degrees(spark: SparkSession, path: str) -> DataFrame:
+    """(id, degree) of all vertices of a graph folder, without reading lists."""
+    spark.dataSource.register(CsrDataSource)
+    return spark.read.format("csr").option("degrees", "true").load(path)
+
+
+def open_graph(spark: SparkSession, path: str | None = None, idx: str | None = None, adj: str | None = None) -> Graph:
+    """The graph in a folder, or in one pair of files; its number of vertices is that of the index. Raises ValueError if it
+    has none."""
+    if path:
+        n = sum(p["vertices"] for p in manifest(path)["parts"])
+    else:
+        system, where = _open(idx)
+        n = (system.get_file_info(where).size or 0) // 8
+    if not n:
+        raise ValueError("a graph without vertices")
+    return Graph(read_csr(spark, path, idx, adj), n)
+
+
+def active_edges(spark: SparkSession, path: str, frontier: DataFrame, block: int = 4096) -> DataFrame:
+    """(src, dst) of the sources in frontier(id, ...), with its other columns. Only blocks of `block` vertices that hold one
+    are read; those that follow each other are read as one. The blocks' numbers reach the driver: V / block at most."""
+    blocks = frontier.select(F.expr(f"id div {block}").alias("b")).distinct().collect()
+    spark.dataSource.register(CsrDataSource)
+    r = spark.read.format("csr").option("verticesPerPartition", block).option("blocks", ",".join(str(x.b) for x in blocks))
+    return r.load(path).join(frontier.withColumnRenamed("id", "src"), "src")
