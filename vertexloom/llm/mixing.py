@@ -84,5 +84,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def mix_query(docs: DataFrame) -> DataFrame:
-    d = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), size=F.col("size"))
+    """(doc_id, size, source_size, target, taken) of every row; words are counted once, into a narrow table."""
+    sizes = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    d = mix(sizes, size=F.col("size"))
     return d.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
