@@ -399,7 +399,8 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), links: bool =
         new = cut(verify(cut(possible(pairs, sets, p) if rest is None else pairs, "pairs"), docs, p), "links")
         links = links.unionByName(new)
         if not new.isEmpty():
-            comp = cut(components(links), "components")
+            # what was joined before is a star already, so few steps are needed
+            comp = cut(components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new)), "components")
             known = known if counted else comp
         left = _labelled(star.where("sig is not null").select("sig", "doc", "n", "first", "scan"), "doc", known)
         open_ = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
