@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,17 @@ def edge_map(edges: DataFrame, combine: Column, frontier: DataFrame | None = Non
     return combined(active_edges(edges, frontier, **active), combine)
 
 
+def edge_apply(edges: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, frontier: DataFrame | None = None, **active) -> DataFrame:
+    """What function makes of the active edges, for what columns can't express: it gets Arrow batches of the columns of
+    active_edges() and gives batches of schema, any number of rows for each edge. Tasks may run again, so it should have no
+    effects outside. Results with dst and a message can go on to combined()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (function(batch) for batch in batches)
+
+    return active_edges(edges, frontier, **active).mapInArrow(run, schema)
+
+
 def vertex_map(state: DataFrame, start: int | None = None, end: int | None = None, **columns: Column) -> DataFrame:
     """state with the given columns anew for ids in [start, end); other vertices keep theirs (null where new)."""
     inside = F.lit(True)

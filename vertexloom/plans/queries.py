@@ -16,6 +16,9 @@ from vertexloom.plans import algorithms as alg
 from vertexloom.plans.shared import shared_dir, written
 from vertexloom.sources import csr, edgelist
 
+#: The least degree inside the core that the k-core queries look for: some, but not all, vertices are peeled off.
+CORE = 22
+
 # -- graphs ------------------------------------------------------------------------------------------------------------
 
 
@@ -23,40 +26,29 @@ def _table(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
-def cust_part_edges(s: SparkSession, d: str, sparse: bool = False) -> DataFrame:
+def cust_part_edges(s: SparkSession, d: str) -> DataFrame:
     """Customers (even ids) to the parts they ordered (odd ids), an edge for each line item."""
-    items = _table(s, d, "lineitem")
-    if sparse:
-        items = items.where("l_quantity = 50 and l_discount >= 0.05")
     o = _table(s, d, "orders").select("o_orderkey", "o_custkey")
-    return items.select("l_orderkey", "l_partkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    return _table(s, d, "lineitem").select("l_orderkey", "l_partkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
 
 
-def supp_chain_edges(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """From supplier to supplier of consecutive line items of an order: the large ones, or all."""
-    items = _table(s, d, "lineitem")
-    if not whole:
-        items = items.where("l_quantity >= 49")
+def supp_chain_edges(s: SparkSession, d: str) -> DataFrame:
+    """From supplier to supplier of consecutive line items of an order."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_suppkey")
-    return items.select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(order).alias("dst")).where("dst is not null")
+    return _table(s, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(order).alias("dst")).where("dst is not null")
 
 
 def cust_part(s: SparkSession, d: str) -> Graph:
     return Graph.from_edges(written(cust_part_edges(s, d), "edges"))
 
 
-def cust_part_sparse(s: SparkSession, d: str) -> Graph:
-    return Graph.from_edges(written(cust_part_edges(s, d, sparse=True), "edges"))
-
-
-def supp_chain(s: SparkSession, d: str, whole: bool = False) -> Graph:
-    return Graph.from_edges(written(supp_chain_edges(s, d, whole), "edges"))
+def supp_chain(s: SparkSession, d: str) -> Graph:
+    return Graph.from_edges(written(supp_chain_edges(s, d), "edges"))
 
 
 _CUST_PART = "SELECT o_custkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
-_SPARSE = f"{_CUST_PART} WHERE l_quantity = 50 AND l_discount >= 0.05"
 _CHAIN = """SELECT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey
-    ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) AS dst FROM lineitem WHERE l_quantity >= 49) WHERE dst IS NOT NULL"""
+    ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL"""
 
 
 def _with(edges: str, body: str, sym: bool = False, recursive: str = "") -> str:
@@ -80,7 +72,7 @@ done AS (SELECT * FROM r WHERE it = (SELECT max(it) FROM r))"""
 _BFS = _rounds("distance, parent", "SELECT id, CASE WHEN id = 0 THEN 0 END::INTEGER, CASE WHEN id = 0 THEN id END, id = 0, 0 FROM v", "min(e.src)",
                "r.id, CASE WHEN distance IS NULL AND m IS NOT NULL THEN it + 1 ELSE distance END::INTEGER, CASE WHEN distance IS NULL AND m IS NOT NULL THEN m ELSE parent END, distance IS NULL AND m IS NOT NULL, it + 1")
 _CC = _rounds("label", "SELECT id, id, true, 0 FROM v", "min(a.label)", "r.id, least(label, coalesce(m, label)), coalesce(m < label, false), it + 1")
-_CORE = _rounds("degree", "SELECT id, degree, degree < 3, 0 FROM vd", "count(*)::BIGINT", "r.id, degree - coalesce(m, 0), degree >= 3 AND degree - coalesce(m, 0) < 3, it + 1")
+_CORE = _rounds("degree", f"SELECT id, degree, degree < {CORE}, 0 FROM vd", "count(*)::BIGINT", f"r.id, degree - coalesce(m, 0), degree >= {CORE} AND degree - coalesce(m, 0) < {CORE}, it + 1")
 _RANK = _rounds("value, delta, residual", "SELECT id, 0.0::DOUBLE, 1.0::DOUBLE - 0.85::DOUBLE, 0.0::DOUBLE, true, 0 FROM v", "sum(a.delta * 0.85::DOUBLE / deg.degree)",
                 """r.id, CASE WHEN abs(residual + coalesce(m, 0.0::DOUBLE)) > 0.001::DOUBLE THEN value + residual + coalesce(m, 0.0::DOUBLE) ELSE value END,
 CASE WHEN abs(residual + coalesce(m, 0.0::DOUBLE)) > 0.001::DOUBLE THEN residual + coalesce(m, 0.0::DOUBLE) ELSE delta END,
@@ -127,33 +119,33 @@ def _frontier_from_bitmap(s: SparkSession, d: str) -> DataFrame:
     return frontier.from_bitmap(frontier.bitmap(busy(cust_part(s, d))))
 
 
-def _bfs(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return alg.bfs(supp_chain(s, d, whole), 0)
+def _bfs(s: SparkSession, d: str) -> DataFrame:
+    return alg.bfs(supp_chain(s, d), 0)
 
 
-def _peeled(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return alg.kcore(supp_chain(s, d, whole).make_undirected(), 3)
+def _peeled(s: SparkSession, d: str) -> DataFrame:
+    return alg.kcore(cust_part(s, d).make_undirected(), CORE)
 
 
-def _labels(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return alg.components((cust_part if whole else cust_part_sparse)(s, d).make_undirected())
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    return alg.components(cust_part(s, d).make_undirected())
 
 
-def _rank(s: SparkSession, d: str, chain: bool, whole: bool = False) -> tuple[DataFrame, int]:
-    return alg.pagerank(supp_chain(s, d, whole) if chain else cust_part(s, d).make_undirected())
+def _rank(s: SparkSession, d: str, chain: bool) -> tuple[DataFrame, int]:
+    return alg.pagerank(supp_chain(s, d) if chain else cust_part(s, d).make_undirected())
 
 
 def _rounded(values: DataFrame) -> DataFrame:
     return values.select("id", F.round("value", 6).alias("value"))
 
 
-def _iterations(s: SparkSession, d: str, chain: bool, whole: bool = False) -> DataFrame:
-    return s.range(1).select(F.lit(_rank(s, d, chain, whole)[1]).cast("long").alias("iterations"))
+def _iterations(s: SparkSession, d: str, chain: bool) -> DataFrame:
+    return s.range(1).select(F.lit(_rank(s, d, chain)[1]).cast("long").alias("iterations"))
 
 
-def _sorted(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def _sorted(s: SparkSession, d: str) -> DataFrame:
     """Edges in order with their place: ranks within blocks of sources and sums over the blocks, not one window."""
-    e = supp_chain_edges(s, d, whole)
+    e = supp_chain_edges(s, d)
     block = F.expr("src div 1024")
     base = e.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
     base = base.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("base"))
@@ -186,25 +178,20 @@ def _codec_stats(s: SparkSession, d: str) -> DataFrame:
     return _compressed(s, d).select("src", "degree", F.size("list").cast("long").alias("words"))
 
 
-def _codec_first_block(s: SparkSession, d: str) -> DataFrame:
-    """Of each list, the words that its first values, up to ten, would take: what the closed form gives."""
-    return _neighbors(s, d).select("src", codec.compress_column(F.slice("neighbors", 1, 10)).alias("list")).select("src", F.size("list").cast("long").alias("words"))
-
-
 def _codec_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return _compressed(s, d).select("src", F.explode(codec.decompress_column("list")).alias("dst"))
 
 
-def _csr(s: SparkSession, d: str, kind: str, whole: bool = False) -> DataFrame:
+def _csr(s: SparkSession, d: str, kind: str) -> DataFrame:
     path = f"{shared_dir(s)}/csr-{uuid.uuid4().hex}"
-    csr.write_csr(supp_chain(s, d, whole) if kind == "raw" else cust_part(s, d), path, kind)
+    csr.write_csr(supp_chain(s, d) if kind == "raw" else cust_part(s, d), path, kind)
     return csr.read_csr(s, path)
 
 
 def _csr_bfs(s: SparkSession, d: str, kind: str) -> DataFrame:
     """Breadth-first search over a graph opened from its files; edges of every line item."""
     path = f"{shared_dir(s)}/csr-{uuid.uuid4().hex}"
-    csr.write_csr(supp_chain(s, d, True), path, kind)
+    csr.write_csr(supp_chain(s, d), path, kind)
     return alg.bfs(csr.open_graph(s, path), 0).select("id", "distance")
 
 
@@ -223,9 +210,9 @@ def _csr_degrees(s: SparkSession, d: str) -> DataFrame:
     return csr.read_degrees(s, path)
 
 
-def _text_roundtrip(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def _text_roundtrip(s: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(s)}/text-{uuid.uuid4().hex}"
-    edgelist.write_edges(supp_chain_edges(s, d, whole), path)
+    edgelist.write_edges(supp_chain_edges(s, d), path)
     return edgelist.read_edges(s, path)
 
 
@@ -258,8 +245,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bfs_levels": lambda s, d: _bfs(s, d).select("id", "distance"),
     "bfs_parents": lambda s, d: _bfs(s, d).select("id", "parent"),
     "bfs_summary": lambda s, d: alg.bfs_summary(_bfs(s, d)),
-    "kcore_members": lambda s, d: alg.kcore_members(_peeled(s, d), 3),
-    "kcore_summary": lambda s, d: alg.kcore_summary(_peeled(s, d), 3).select(F.lit(3).alias("k"), "kth_core_membership"),
+    "kcore_members": lambda s, d: alg.kcore_members(_peeled(s, d), CORE),
+    "kcore_summary": lambda s, d: alg.kcore_summary(_peeled(s, d), CORE).select(F.lit(CORE).alias("k"), "kth_core_membership"),
     "cc_labels": _labels,
     "cc_sizes": lambda s, d: alg.component_sizes(_labels(s, d)),
     "cc_summary": lambda s, d: alg.components_summary(_labels(s, d)),
@@ -271,7 +258,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "block_pack": _block_pack,
     "delta_width_hist": _width_hist,
     "codec_stats": _codec_stats,
-    "codec_first_block": _codec_first_block,
     "codec_roundtrip": _codec_roundtrip,
     "csr_roundtrip": lambda s, d: _csr(s, d, "raw"),
     "csr_delta_roundtrip": lambda s, d: _csr(s, d, "delta"),
@@ -282,30 +268,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csr_delta_degrees": _csr_degrees,
 }
 
-#: The queries over a part of the line items, over all of them.
-WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "scan_edges": lambda s, d: _text_roundtrip(s, d, True),
-    "sorted_edges": lambda s, d: _sorted(s, d, True),
-    "make_undirected": lambda s, d: supp_chain(s, d, True).make_undirected().edges,
-    "bfs_levels": lambda s, d: _bfs(s, d, True).select("id", "distance"),
-    "bfs_parents": lambda s, d: _bfs(s, d, True).select("id", "parent"),
-    "bfs_summary": lambda s, d: alg.bfs_summary(_bfs(s, d, True)),
-    "kcore_members": lambda s, d: alg.kcore_members(_peeled(s, d, True), 3),
-    "kcore_summary": lambda s, d: alg.kcore_summary(_peeled(s, d, True), 3).select(F.lit(3).alias("k"), "kth_core_membership"),
-    "cc_labels": lambda s, d: _labels(s, d, True),
-    "cc_sizes": lambda s, d: alg.component_sizes(_labels(s, d, True)),
-    "cc_summary": lambda s, d: alg.components_summary(_labels(s, d, True)),
-    "pagerank_values_chain": lambda s, d: _rounded(_rank(s, d, True, True)[0]),
-    "pagerank_iterations_chain": lambda s, d: _iterations(s, d, True, True),
-    "csr_roundtrip": lambda s, d: _csr(s, d, "raw", True),
-    "dump_edges": lambda s, d: edgelist.edge_lines(supp_chain_edges(s, d, True)),
-}
-QUERIES |= {f"{name}_whole": query for name, query in WHOLE.items()}
-
 _HUBS = "(SELECT id FROM vd WHERE degree > 30)"
 _WIDTH = "CASE WHEN {0} <= 255 THEN 1 WHEN {0} <= 65535 THEN 2 ELSE 4 END"
 _DELTAS = "SELECT src, dst, dst - lag(dst) OVER (PARTITION BY src ORDER BY dst) AS delta, row_number() OVER (PARTITION BY src ORDER BY dst) AS place FROM e"
 
+#: Blocks of each list one after the other: `pos` values are in blocks, which take `words` words with the list's first.
+_STATS = _with(_CUST_PART, "SELECT src, n AS degree, words FROM blocks WHERE pos = n", recursive=f"""widths AS MATERIALIZED (SELECT src, count(*)::BIGINT AS n,
+list({_WIDTH.format('coalesce(delta, 0)')} ORDER BY place) AS w FROM ({_DELTAS}) GROUP BY src),
+blocks(src, n, pos, words) AS (SELECT src, n, 0::BIGINT, 1::BIGINT FROM widths UNION ALL
+SELECT src, n, stop, words + CASE WHEN n - pos = 1 THEN 2 ELSE 2 + ceil(width * (stop - pos - 1) / 4.0) END::BIGINT FROM (
+SELECT *, coalesce(list_min([i for i in range(free, most) if w[i + 1] > width]), most)::BIGINT AS stop FROM (
+SELECT *, coalesce(list_max(w[pos + 2 : free]), 1) AS width FROM (
+SELECT b.*, x.w, least(b.n, pos + 1000) AS most, least(b.n, pos + 10) AS free FROM blocks b JOIN widths x ON b.src = x.src WHERE pos < b.n))))""")
+
 ORACLES: dict[str, str] = {
     "scan_edges": _CHAIN,
     "sorted_edges": f"SELECT row_number() OVER (ORDER BY src, dst) AS rn, src, dst FROM ({_CHAIN})",
@@ -329,11 +304,11 @@ ORACLES: dict[str, str] = {
     "bfs_levels": _with(_CHAIN, "SELECT id, distance FROM done", recursive=_BFS),
     "bfs_parents": _with(_CHAIN, "SELECT id, parent FROM done", recursive=_BFS),
     "bfs_summary": _with(_CHAIN, "SELECT max(distance) AS max_distance FROM done", recursive=_BFS),
-    "kcore_members": _with(_CHAIN, "SELECT id FROM done WHERE degree >= 3", sym=True, recursive=_CORE),
-    "kcore_summary": _with(_CHAIN, "SELECT 3 AS k, count(*)::BIGINT AS kth_core_membership FROM done WHERE degree >= 3", sym=True, recursive=_CORE),
-    "cc_labels": _with(_SPARSE, "SELECT id, label FROM done", sym=True, recursive=_CC),
-    "cc_sizes": _with(_SPARSE, "SELECT label, count(*)::BIGINT AS size FROM done GROUP BY label", sym=True, recursive=_CC),
-    "cc_summary": _with(_SPARSE, "SELECT count(*)::BIGINT AS components, (count(*) FILTER (size > 1))::BIGINT AS non_trivial_components, max(size) AS largest_component_size FROM (SELECT count(*)::BIGINT AS size FROM done GROUP BY label)", sym=True, recursive=_CC),
+    "kcore_members": _with(_CUST_PART, f"SELECT id FROM done WHERE degree >= {CORE}", sym=True, recursive=_CORE),
+    "kcore_summary": _with(_CUST_PART, f"SELECT {CORE} AS k, count(*)::BIGINT AS kth_core_membership FROM done WHERE degree >= {CORE}", sym=True, recursive=_CORE),
+    "cc_labels": _with(_CUST_PART, "SELECT id, label FROM done", sym=True, recursive=_CC),
+    "cc_sizes": _with(_CUST_PART, "SELECT label, count(*)::BIGINT AS size FROM done GROUP BY label", sym=True, recursive=_CC),
+    "cc_summary": _with(_CUST_PART, "SELECT count(*)::BIGINT AS components, (count(*) FILTER (size > 1))::BIGINT AS non_trivial_components, max(size) AS largest_component_size FROM (SELECT count(*)::BIGINT AS size FROM done GROUP BY label)", sym=True, recursive=_CC),
     "pagerank_values": _with(_CUST_PART, "SELECT id, round(value, 6) AS value FROM done", sym=True, recursive=_RANK),
     "pagerank_values_chain": _with(_CHAIN, "SELECT id, round(value, 6) AS value FROM done", recursive=_RANK),
     "pagerank_iterations": _with(_CUST_PART, "SELECT max(it)::BIGINT AS iterations FROM done", sym=True, recursive=_RANK),
@@ -342,14 +317,12 @@ ORACLES: dict[str, str] = {
     "block_pack": _with(_CUST_PART, f"""SELECT DISTINCT n AS num_vals, w AS delta_size, (w << 24) + n AS packed, n AS unpacked_num_vals, w AS unpacked_delta_size FROM
 (SELECT src, count(*)::BIGINT AS n, {_WIDTH.format('coalesce(max(delta), 0)')}::INTEGER AS w FROM ({_DELTAS}) GROUP BY src)"""),
     "delta_width_hist": _with(_CUST_PART, f"SELECT {_WIDTH.format('delta')} AS delta_width, count(*)::BIGINT AS n FROM ({_DELTAS}) WHERE delta IS NOT NULL GROUP BY 1"),
-    "codec_first_block": _with(_CUST_PART, f"""SELECT src, (3 + ceil({_WIDTH.format('coalesce(max(delta), 0)')} * (count(*) - 1) / 4.0))::BIGINT AS words
-FROM ({_DELTAS}) WHERE place <= 10 GROUP BY src"""),
+    "codec_stats": _STATS,
     "codec_roundtrip": _CUST_PART,
     "csr_roundtrip": _CHAIN,
     "csr_delta_roundtrip": _CUST_PART,
     "dump_edges": f"SELECT src || ' ' || dst AS line FROM ({_CHAIN})",
 }
-ORACLES |= {f"{name}_whole": ORACLES[name].replace(_SPARSE, _CUST_PART).replace(_CHAIN, _CHAIN.replace(" WHERE l_quantity >= 49", "")) for name in WHOLE}
-ORACLES |= dict.fromkeys(("csr_bfs_levels", "csr_delta_bfs_levels"), ORACLES["bfs_levels_whole"])
+ORACLES |= dict.fromkeys(("csr_bfs_levels", "csr_delta_bfs_levels"), ORACLES["bfs_levels"])
 ORACLES["csr_frontier_messages"] = _with(_CUST_PART, "SELECT dst, count(*)::BIGINT AS messages FROM e WHERE src % 64 = 0 GROUP BY dst")
 ORACLES["csr_delta_degrees"] = ORACLES["out_degree"]

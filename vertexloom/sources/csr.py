@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import json
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from importlib import import_module
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from vertexloom.functions.codec import CompressionOptions, compress, decompress
 from vertexloom.graph import Graph
 
-SUFFIX = {"raw": ("idx", "adj"), "delta": ("idx2", "adj2")}
+
+@dataclass(frozen=True)
+class Codec:
+    """How a list of ascending ids becomes 32-bit words: compress(ids, options) and decompress(words), both of arrays; None
+    where words are the ids. degree_first: a list's first word is its length. suffixes: of the index and adjacency files."""
+
+    suffixes: tuple[str, str]
+    compress: Callable[[np.ndarray, CompressionOptions], np.ndarray] | None = None
+    decompress: Callable[[np.ndarray], np.ndarray] | None = None
+    degree_first: bool = False
+
+
+CODECS = {"raw": Codec(("idx", "adj")), "delta": Codec(("idx2", "adj2"), compress, decompress, degree_first=True)}
+SUFFIX = {name: codec.suffixes for name, codec in CODECS.items()}
 #: A read partition holds about so many index entries.
 READ_VERTICES = 1 << 20
 
@@ -38,6 +52,16 @@ class Part:
     words: int
 
 
+def codec_of(name: str) -> Codec:
+    """A codec of this module, or that of "module:name", which executors import too."""
+    if name in CODECS:
+        return CODECS[name]
+    module, _, attribute = name.partition(":")
+    if not attribute:
+        raise ValueError(f"no codec is called {name}")
+    return getattr(import_module(module), attribute)
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         path = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
@@ -72,62 +96,90 @@ def num_vertices(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csr(graph: Graph, path: str, codec: str = "raw", options: CompressionOptions = CompressionOptions(), parts: int | None = None) -> list[Part]:
     """Writes the graph folder and returns its parts. Each part is a range of vertices of about equal size, written by one
-    task; the driver gets one row for each part. A task that runs again writes the same files."""
+    task; the driver gets one row for each part. A task that runs again writes the same files.
+
+    Edges reach a task sorted and are written as they come, whatever a vertex's degree; with a codec that packs whole lists
+    one list at a time is in memory. codec: "raw", "delta", or "module:name" of a Codec."""
     n = parts or graph.partitions
     span = -(-graph.num_vertices // n)
-    idx, adj = SUFFIX[codec]
-    lists = graph.edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("neighbors"))
-    rows = graph.spark.range(graph.num_vertices).withColumnRenamed("id", "src").join(lists, "src", "left").withColumn("part", F.expr(f"src div {span}"))
-    total = graph.num_vertices
+    total, chosen = graph.num_vertices, codec_of(codec)
+    idx, adj = chosen.suffixes
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from vertexloom.sources.csr import _PartWriter
 
         writer = None
         for batch in batches:
-            for part, src, near in zip(*(batch.column(c).to_pylist() for c in ("part", "src", "neighbors"))):
-                if writer is None or writer.part != part:
+            part = batch.column("part").to_numpy()
+            for lo, hi in _runs(part):
+                at = int(part[lo])
+                if writer is None or writer.part != at:
                     if writer:
                         yield writer.close()
-                    writer = _PartWriter(path, part, part * span, min(span, total - part * span), codec, options)
-                writer.add(src, near or [])
+                    writer = _PartWriter(path, at, at * span, min(span, total - at * span), codec, options)
+                rows = batch.slice(lo, hi - lo)
+                rows = rows.filter(rows.column("src").is_valid())
+                writer.add(rows.column("src").to_numpy(), rows.column("dst").to_numpy())
         if writer:
             yield writer.close()
 
     system, where = _open(path)
     system.create_dir(where)
-    ordered = rows.repartition(n, "part").sortWithinPartitions("part", "src")
-    found = ordered.select("part", "src", "neighbors").mapInArrow(write, "name string, vertex_start long, vertices long, edges long, words long").collect()
+    edges = graph.edges.select(F.expr(f"src div {span}").alias("part"), "src", "dst")
+    marks = graph.spark.range(-(-total // span)).select(F.col("id").alias("part"), F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"))  # parts without edges are written too
+    ordered = edges.unionByName(marks).repartition(n, "part").sortWithinPartitions("part", "src", "dst")
+    found = ordered.mapInArrow(write, "name string, vertex_start long, vertices long, edges long, words long").collect()
     out = [Part(**r.asDict()) for r in sorted(found, key=lambda r: r.vertex_start)]
     with system.open_output_stream(posixpath.join(where, "manifest.json")) as f:
         f.write(json.dumps({"codec": codec, "index": idx, "adjacency": adj, "parts": [asdict(p) for p in out]}).encode())
     return out
 
 
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """The stretches of equal keys."""
+    edge = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return [(lo, hi) for lo, hi in zip(edge, edge[1:]) if lo < hi]
+
+
 class _PartWriter:
-    """Streams one part's two files."""
+    """Streams one part's adjacency; its index, a number for each vertex, is written at the end."""
 
     def __init__(self, path: str, part: int, start: int, vertices: int, codec: str, options: CompressionOptions):
         system, where = _open(path)
-        self.part, self.name, self.start, self.vertices, self.codec, self.options = part, f"part-{part:06d}", start, vertices, codec, options
-        idx, adj = SUFFIX[codec]
+        self.part, self.name, self.start, self.codec, self.options = part, f"part-{part:06d}", start, codec_of(codec), options
+        idx, adj = self.codec.suffixes
         self.idx = system.open_output_stream(posixpath.join(where, f"{self.name}.{idx}"))
         self.adj = system.open_output_stream(posixpath.join(where, f"{self.name}.{adj}"))
-        self.next, self.edges, self.words = start, 0, 0
-
-    def add(self, src: int, near: list[int]) -> None:
-        assert src == self.next
-        self.next += 1
-        self.idx.write(np.array([self.words], "<u8").tobytes())
-        words = compress(np.array(near, np.int64), self.options) if self.codec == "delta" else np.array(near, "<u4")
-        self.adj.write(words.astype("<u4").tobytes())
-        self.edges += len(near)
-        self.words += len(words)
+        self.words, self.edges = np.zeros(vertices, np.int64), 0
+        self.source, self.pending = -1, []
+
+    def add(self, src: np.ndarray, dst: np.ndarray) -> None:
+        """Edges by source, then target; a list may go on with the next call."""
+        self.edges += len(src)
+        if self.codec.compress is None:
+            self.words += np.bincount(src - self.start, minlength=len(self.words))
+            self.adj.write(dst.astype("<u4").tobytes())
+            return
+        for lo, hi in _runs(src):
+            if src[lo] != self.source:
+                self._flush()
+                self.source = int(src[lo])
+            self.pending.append(dst[lo:hi])
+
+    def _flush(self) -> None:
+        if self.pending:
+            words = self.codec.compress(np.concatenate(self.pending), self.options)
+            self.adj.write(words.astype("<u4").tobytes())
+            self.words[self.source - self.start] = len(words)
+            self.pending = []
 
     def close(self) -> pa.RecordBatch:
+        self._flush()
+        ends = np.cumsum(self.words)
+        self.idx.write((ends - self.words).astype("<u8").tobytes())
         self.idx.close()
         self.adj.close()
-        return pa.RecordBatch.from_pylist([{"name": self.name, "vertex_start": self.start, "vertices": self.vertices, "edges": self.edges, "words": self.words}])
+        return pa.RecordBatch.from_pylist([{"name": self.name, "vertex_start": self.start, "vertices": len(self.words), "edges": self.edges, "words": int(self.words.sum())}])
 
 
 def single_file(path: str, target: str, piece: int = 1 << 24) -> None:
@@ -162,6 +214,7 @@ class _Slice(InputPartition):
     words: int
     lo: int
     hi: int
+    codec: str
 
     def __hash__(self):
         return hash((self.idx, self.lo))
@@ -181,6 +234,8 @@ class CsrReader(DataSourceReader):
     def partitions(self) -> list[_Slice]:
         if self.path:
             m = manifest(self.path)
+            if m["codec"] not in CODECS and m["codec"] != self.codec:  # a file doesn't decide which module is imported
+                raise ValueError(f"the folder needs the codec {m['codec']}: name it as an option")
             self.codec = m["codec"]
             files = [(f"{self.path}/{p['name']}.{m['index']}", f"{self.path}/{p['name']}.{m['adjacency']}", p["vertex_start"], p["vertices"], p["words"]) for p in m["parts"]]
         else:
@@ -195,7 +250,7 @@ class CsrReader(DataSourceReader):
         for idx, adj, start, n, words in files:
             lo, hi = max(0, self.lo - start), min(n, self.hi - start)
             if self.only is None:
-                out += [_Slice(idx, adj, start, n, words, k, min(hi, k + self.step)) for k in range(lo, hi, self.step)]
+                out += [_Slice(idx, adj, start, n, words, k, min(hi, k + self.step), self.codec) for k in range(lo, hi, self.step)]
                 continue
             runs: list[list[int]] = []  # blocks that follow each other are read as one
             for b in sorted(b for b in self.only if lo < (b + 1) * self.step - start and b * self.step - start < hi):
@@ -204,17 +259,16 @@ class CsrReader(DataSourceReader):
                     runs[-1][1] = end
                 else:
                     runs.append([at, end])
-            out += [_Slice(idx, adj, start, n, words, at, end) for at, end in runs]
-        self.read_codec = self.codec
+            out += [_Slice(idx, adj, start, n, words, at, end, self.codec) for at, end in runs]
         return out
 
     def read(self, part: _Slice) -> Iterator[pa.RecordBatch]:
-        delta = part.idx.endswith("2") if not self.codec else self.codec == "delta"
+        codec = codec_of(part.codec)
         more = part.hi < part.vertices  # the place after the last list is in the index, or is the end of the file
         at = np.frombuffer(_read(part.idx, part.lo * 8, (part.hi - part.lo + more) * 8), "<u8").astype(np.int64)
         ends = at if more else np.append(at, part.words)
         if self.degrees:
-            yield self._degrees(part, ends, delta)
+            yield self._degrees(part, ends, codec)
             return
         group = 1 << 20  # words in memory at once, but for longer lists
         v = 0
@@ -222,8 +276,8 @@ class CsrReader(DataSourceReader):
             stop = max(v + 1, int(np.searchsorted(ends, ends[v] + group, side="right")) - 1)
             stop = min(stop, part.hi - part.lo)
             words = np.frombuffer(_read(part.adj, int(ends[v]) * 4, int(ends[stop] - ends[v]) * 4), "<u4")
-            if delta:
-                lists = [decompress(words[ends[k] - ends[v] : ends[k + 1] - ends[v]]) for k in range(v, stop)]
+            if codec.decompress:
+                lists = [codec.decompress(words[ends[k] - ends[v] : ends[k + 1] - ends[v]]) for k in range(v, stop)]
                 size, dst = np.array([len(x) for x in lists]), np.concatenate(lists)
             else:
                 size, dst = np.diff(ends[v : stop + 1]), words.astype(np.int64)
@@ -232,10 +286,14 @@ class CsrReader(DataSourceReader):
             v = stop
 
 
-    def _degrees(self, part: _Slice, ends: np.ndarray, delta: bool) -> pa.RecordBatch:
-        """The length of each list: what its first word says with the delta codec, else the distance of offsets."""
+    def _degrees(self, part: _Slice, ends: np.ndarray, codec: Codec) -> pa.RecordBatch:
+        """The length of each list: what its first word says with the delta codec, else the distance of offsets, or for
+        other codecs what comes out of each list."""
         n = np.diff(ends)
-        if delta and n.any():
+        if codec.decompress and not codec.degree_first:
+            words = lambda k: np.frombuffer(_read(part.adj, int(ends[k]) * 4, int(n[k]) * 4), "<u4")
+            n = np.array([len(codec.decompress(words(k))) if n[k] else 0 for k in range(len(n))], np.int64)
+        elif codec.degree_first and n.any():
             system, where = _open(part.adj)
             full = np.flatnonzero(n)
             with system.open_input_file(where) as f:
@@ -257,14 +315,15 @@ class CsrDataSource(DataSource):
         return CsrReader(self.options)
 
 
-def read_csr(spark: SparkSession, path: str | None = None, idx: str | None = None, adj: str | None = None, src_from: int = 0, src_to: int = 2**32) -> DataFrame:
+def read_csr(spark: SparkSession, path: str | None = None, idx: str | None = None, adj: str | None = None, src_from: int = 0, src_to: int = 2**32, codec: str | None = None) -> DataFrame:
     """(src, dst) of a graph folder, or of one pair of files; only sources in [src_from, src_to) are read from disk.
 
     The range is an option, not a pushed filter: Spark keeps one reader for all uses of a frame, and a filter pushed by
-    one use would hold for the others.
+    one use would hold for the others. codec: for files that were written with one named "module:name".
     """
     spark.dataSource.register(CsrDataSource)
     r = spark.read.format("csr").option("srcFrom", src_from).option("srcTo", src_to)
+    r = r.option("codec", codec) if codec else r
     return r.load(path) if path else r.option("idx", idx).option("adj", adj).load()
 
 
