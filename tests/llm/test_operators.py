@@ -131,6 +131,24 @@ def test_jaccard_join(spark, docs, odd, none, params):
     assert jaccard_components(none, params).count() == 0
 
 
+def test_jaccard_long_lists(spark):
+    """Lists that are dealt to several tasks give what whole ones do: a passage that many texts share, texts that contain
+    little else, and near copies in number."""
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"x{k}" for k in rng.integers(0, 5000, n)]
+    passage = [f"p{k}" for k in range(40)]
+    rows = [(i, " ".join(words(30) + passage + words(30))) for i in range(150)]
+    rows += [(200 + i, " ".join(passage + words(int(rng.integers(1, 12))))) for i in range(60)]
+    rows += [(300 + i, " ".join([f"g{k}" for k in range(60)] + words(2))) for i in range(90)]
+    rows += [(400 + i, " ".join(["a b c d e f g"] + words(1))) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_jaccard(rows)
+    for params in (JaccardParams(share=8, pivots=1, more=2), JaccardParams(share=20, pivots=2)):
+        assert sorted((tuple(r) for r in jaccard_components(table, params).collect()), key=str) == want
+    whole, split = (jaccard_components(table, JaccardParams(pivots=1, share=s), links=True).collect() for s in (1 << 40, 8))
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, split))
+
+
 def test_jaccard_links(spark, odd, none):
     """Every link counts, also within groups of near copies whose component is known early."""
     group = [(1000 + i, " ".join([f"g{k}" for k in range(60)] + [f"own{i}"])) for i in range(30)]

@@ -16,6 +16,9 @@ in as many bits as it has shingles, or more, and two sets differ in no fewer shi
 A list is worked off by pivots: its first K_r sets, in one order for all lists, are paired with all that follow them, and
 leave it; in the next round the rest goes on, with more pivots, unless all its sets are known to be in one component by
 then. So a list whose sets are alike costs a star, not all pairs, and no pair of sets of different components is missed.
+
+Lists of frequent shingles are dealt to several tasks: the counters say about how long a list is, each task gets a share of
+its sets, and all of them get its pivots.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexloom.llm.common import bounded, components, cut, drop_cut, held, may_hold, mix, shingle_set, trimmed
 
 #: Size of the subsets that light sets enumerate.
 K = 2
+#: A share of a list is so many times its pivots or more, since each share gets them all.
+SHARE_PIVOTS = 16
 #: Candidates for the boundary between light and heavy sets.
 BOUNDARIES = tuple(range(0, 41))
 
@@ -42,7 +47,8 @@ BOUNDARIES = tuple(range(0, 41))
 @dataclass(frozen=True)
 class Params:
     """Links need num / den of the union in common. counters: how many hashed counters order the shingles (4 bytes each,
-    sent to every executor). pivots: of a list, in the first round; each later round takes `more` times as many."""
+    sent to every executor). pivots: of a list, in the first round; each later round takes `more` times as many. share:
+    about how many sets of a list one task gets, at least SHARE_PIVOTS times the pivots."""
 
     num: int = 75
     den: int = 100
@@ -50,6 +56,7 @@ class Params:
     counters: int = 1 << 20
     pivots: int = 4
     more: int = 16
+    share: int = 1024
 
     def overlap(self, n):
         """The least overlap of a set of n with a partner: ceil(num / den * n)."""
@@ -131,6 +138,12 @@ def frequency_class(counters: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(1 + over)).astype(np.uint8)
 
 
+def sizes(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """About how many sets have each shingle: 0 unless its counter stands out."""
+    c = classes[(s & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.int64)
+    return np.where(c > 0, 8 << c, 0)
+
+
 def in_order(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """A set in the global order; s is sorted by hash."""
     return s[np.argsort(classes[(s & np.uint64(len(classes) - 1)).astype(np.int64)], kind="stable")]
@@ -171,11 +184,10 @@ class Bitmaps:
         return out
 
 
-def heads(docs: DataFrame, classes: np.ndarray, p: Params) -> DataFrame:
+def heads(docs: DataFrame, sent: Broadcast, p: Params) -> DataFrame:
     """A second pass: rows (doc_id, n, d1, d2, least, head, bits, cost): the n - o + K first shingles as bytes, the few
     least hashes, the bitmap, and what scanning the lists costs. Empty sets and null ids give none."""
     weight = np.concatenate([[1.0], 8.0 * np.exp2(np.arange(64))])
-    sent = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -209,62 +221,95 @@ def boundary(sets: DataFrame, p: Params) -> int:
     return BOUNDARIES[int(np.argmin(costs))]
 
 
-def subsets(first: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all subsets of size min(K, n) of the first shingles; sets below K are their own subset."""
+def subsets(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all subsets of size min(K, n) of the first shingles, and the subsets as places; sets below K are their own
+    subset."""
     k = min(K, n)
     at = np.array(list(combinations(range(len(first)), k)), np.int64)
     h = np.full(len(at), 0x51, np.uint64)
     for c in range(k):
         h = mix(h + first[at[:, c]] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c))
-    return h
+    return h, at
 
 
-ENTRY = "sig long, doc long, n long, first boolean, scan boolean, comp long, bits binary"
+ENTRY = "sig long, doc long, n long, first boolean, scan boolean, size long, comp long, bits binary"
 
 
-def entries(sets: DataFrame, x: int | None, p: Params) -> DataFrame:
-    """Entries of the lists: (sig, doc, n, first, scan, comp). first: the set may be the smaller one of a pair found
+def entries(sets: DataFrame, x: int | None, p: Params, sent: Broadcast, above: int = -1) -> DataFrame:
+    """Entries of the lists: (sig, doc, n, first, scan, size, comp), those of size > above. size: about how long the list is,
+    0 if not known to be long. first: the set may be the smaller one of a pair found
     here; scan: an inverted list, for pairs with a heavy set. With x None one entry for each of the few least hashes, with
     the set's bitmap."""
-    arrow = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("first", pa.bool_()), ("scan", pa.bool_()), ("comp", pa.int64()), ("bits", pa.binary())])
+    arrow = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("first", pa.bool_()), ("scan", pa.bool_()), ("size", pa.int64()), ("comp", pa.int64()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
         for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
-            sig, first, scan, count = [], [], [], []
+            sig, first, scan, size, count = [], [], [], [], []
             for n, data in zip(batch.column("n").to_pylist(), batch.column("head").to_pylist()):
                 s = np.frombuffer(data, np.uint64)
+                long = sizes(s, known)
                 if x is None:
-                    parts = [(s, np.ones(len(s), bool), False)]
+                    parts = [(s, np.ones(len(s), bool), long, False)]
                 else:
                     parts = []
                     if n <= x:
-                        h = subsets(s, n)
-                        parts.append((h, np.ones(len(h), bool), False))
+                        h, at = subsets(s, n)
+                        parts.append((h, np.ones(len(h), bool), long[at].min(axis=1), False))
                     if p.den * n > p.num * x:  # heavy, or near enough to have a heavy partner
                         h = s[: n - p.overlap(n) + 1]
-                        parts.append((h, np.arange(len(h)) < p.indexed(n), True))
-                count.append(sum(len(h) for h, _, _ in parts))
-                for h, f, sc in parts:
+                        parts.append((h, np.arange(len(h)) < p.indexed(n), long[: len(h)], True))
+                count.append(0)
+                for h, f, lg, sc in parts:
+                    if above >= 0:
+                        keep = lg > above
+                        h, f, lg = h[keep], f[keep], lg[keep]
+                    count[-1] += len(h)
                     sig.append(h)
                     first.append(f)
+                    size.append(lg)
                     scan.append(np.full(len(h), sc))
             if not sum(count):
                 continue
             rep = np.repeat(np.arange(batch.num_rows), count)
             kinds = np.concatenate(scan)
             h = np.concatenate(sig) ^ np.where(kinds, np.uint64(0), np.uint64(0xA5A5A5A5A5A5A5A5))
-            cols = [pa.array(h.view(np.int64)), *(batch.column(c).take(pa.array(rep)) for c in ("doc_id", "n")), pa.array(np.concatenate(first)), pa.array(kinds), batch.column("comp").take(pa.array(rep)), batch.column("bits").take(pa.array(rep))]
+            cols = [pa.array(h.view(np.int64)), *(batch.column(c).take(pa.array(rep)) for c in ("doc_id", "n")), pa.array(np.concatenate(first)), pa.array(kinds), pa.array(np.concatenate(size)), batch.column("comp").take(pa.array(rep)), batch.column("bits").take(pa.array(rep))]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     head, bits = ("least", F.col("bits")) if x is None else ("head", F.lit(None).cast("binary"))
     return sets.select("doc_id", "n", F.col(head).alias("head"), "comp", bits.alias("bits")).mapInArrow(trimmed(run), ENTRY)
 
 
-def stars(listed: DataFrame, x: int, pivots: int, p: Params) -> DataFrame:
+def order() -> tuple:
+    """The order of a list: which sets are its pivots doesn't depend on how it is dealt out."""
+    return F.xxhash64("doc"), F.col("doc"), F.col("first").desc(), F.col("scan")
+
+
+def dealt(listed: DataFrame, hot: DataFrame | None, pivots: int, p: Params) -> DataFrame:
+    """listed with salt, the share of its list that an entry belongs to, and copy: true for the entries of a list's pivots in
+    the other shares. hot: the entries of size > share, or None if there is none; their lists are counted, since copies of
+    a text count in a size but are one set."""
+    if hot is None:
+        return listed.withColumns({"salt": F.lit(0), "copy": F.lit(False)})
+    share = max(p.share, SHARE_PIVOTS * pivots)
+    counted = hot.groupBy("sig").agg(F.count("*").alias("sets")).where(F.col("sets") > share)
+    shares = F.coalesce(F.ceil(F.col("sets") / share).cast("int"), F.lit(1))
+    rows = hot.join(counted, "sig", "left").withColumn("shares", shares).withColumn("salt", F.pmod(F.hash("doc"), "shares")).drop("sets")
+    top = rows.where("shares > 1")
+    for keys in (("sig", "salt"), ("sig",)):
+        top = top.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order()))).where(F.col("place") <= pivots).drop("place")
+    others = F.array_except(F.sequence(F.lit(0), F.col("shares") - 1), F.array("salt"))
+    copies = top.withColumn("salt", F.explode(others)).withColumn("copy", F.lit(True))
+    cold = listed.where(F.col("size") <= p.share).withColumns({"salt": F.lit(0), "copy": F.lit(False)})
+    return cold.unionByName(rows.withColumn("copy", F.lit(False)).drop("shares")).unionByName(copies.drop("shares"))
+
+
+def stars(listed: DataFrame, hot: DataFrame | None, x: int, pivots: int, p: Params) -> DataFrame:
     """Works off `pivots` sets of each list: rows (a, b) of candidate pairs, and rows (sig, doc, ...) of what stays in
-    lists. Reads the lists as a stream; of a list only its pivots are held. Where entries have bitmaps, pairs that these
+    lists. Reads the lists, or shares of long ones, as a stream; of each only the pivots are held. Where entries have bitmaps, pairs that these
     rule out aren't given."""
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("first", pa.bool_()), ("scan", pa.bool_())])
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("first", pa.bool_()), ("scan", pa.bool_()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.RecordBatch | None = None  # the pivots of the list that the last batch ended in
@@ -274,8 +319,8 @@ def stars(listed: DataFrame, x: int, pivots: int, p: Params) -> DataFrame:
                 continue
             lead = carry.num_rows if carry is not None else 0
             rows = batch if carry is None else pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
-            sig = rows.column("sig").to_numpy(zero_copy_only=False)
-            edge = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
+            sig, salt, copy = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "salt", "copy"))
+            edge = np.concatenate([[0], np.flatnonzero((sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])) + 1])
             group = np.cumsum(np.isin(np.arange(len(sig)), edge, assume_unique=True)) - 1
             start = edge[group]
             place = np.arange(len(sig)) - start
@@ -288,7 +333,7 @@ def stars(listed: DataFrame, x: int, pivots: int, p: Params) -> DataFrame:
             found = []
             bits = Bitmaps(rows.column("bits").to_pylist()) if rows.column("bits").null_count == 0 else None
             for k in range(min(pivots, int(place.max()) + 1)):
-                b = np.flatnonzero(new & (place > k))
+                b = np.flatnonzero(new & ~copy & (place > k))
                 if not len(b):
                     break
                 a = start[b] + k
@@ -304,18 +349,18 @@ def stars(listed: DataFrame, x: int, pivots: int, p: Params) -> DataFrame:
                 found.append(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])], axis=1))
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
             if len(pairs):
-                none = [pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())]
+                none = [pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], schema=arrow)
             stays = np.flatnonzero(new & (place >= pivots))
             if len(stays):
                 kept = rows.take(pa.array(stays))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(stays), pa.int64())] * 2 + [kept.column(c) for c in ("sig", "doc", "n", "first", "scan")], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(stays), pa.int64())] * 2 + [kept.column(c) for c in ("sig", "doc", "n", "first", "scan", "size")], schema=arrow)
             last = np.flatnonzero(group == group[-1])
             carry = rows.take(pa.array(last[:pivots]))
             seen = int(place[-1]) + 1
 
-    order = listed.repartition("sig").sortWithinPartitions("sig", F.xxhash64("doc"), "doc")
-    return order.mapInArrow(trimmed(run), "a long, b long, sig long, doc long, n long, first boolean, scan boolean")
+    ordered = dealt(listed, hot, pivots, p).repartition("sig", "salt").sortWithinPartitions("sig", "salt", *order())
+    return ordered.mapInArrow(trimmed(run), "a long, b long, sig long, doc long, n long, first boolean, scan boolean, size long")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
@@ -381,20 +426,25 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), links: bool =
     seen = cut(describe(docs, p), "described")
     light = seen.where("n is not null").select("doc_id", "n", "d1", "d2")
     classes = frequency_class(_sum_counters(seen.where("chunk is not null").select("chunk", "salt", "part"), p.counters))
-    made = heads(docs, classes, p).groupBy("d1", "d2")
+    sent = docs.sparkSession.sparkContext.broadcast(classes)
+    longest = int(8 << int(classes.max(initial=0)))  # of all lists
+    made = heads(docs, sent, p).groupBy("d1", "d2")
     sets = cut(made.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cost").alias("cost"), F.first("least").alias("least"), F.first("head").alias("head"), F.first("bits").alias("bits"), *([F.count("*").alias("copies")] if counted else [])), "sets")
     x = boundary(sets, p)
     # round 0: the few least hashes join most of what is nearly equal
     own = sets.withColumn("comp", F.col("doc_id"))
-    star = cut(stars(entries(own, None, p), 0, 1, p), "stars")
+    hot = cut(entries(own, None, p, sent, p.share), "hot") if longest > p.share else None
+    star = cut(stars(entries(own, None, p, sent), hot, 0, 1, p), "stars")
     links = cut(verify(cut(star.where("a is not null").select("a", "b").distinct(), "pairs"), docs, p), "links")
     drop_cut(star)
     comp = cut(components(links), "components")
     known = comp.where("false") if counted else comp  # components that lists may be left for
-    listed = entries(_labelled(sets, "doc_id", known), x, p)
+    own = _labelled(sets, "doc_id", known)
+    listed = entries(own, x, p, sent)
+    hot = cut(entries(own, x, p, sent, p.share), "hot") if longest > p.share else None
     pivots, rest = p.pivots, None
     while True:
-        star = cut(stars(listed, x, pivots, p), "stars")
+        star = cut(stars(listed, hot, x, pivots, p), "stars")
         pairs = star.where("a is not null").select("a", "b").distinct()
         new = cut(verify(cut(possible(pairs, sets, p) if rest is None else pairs, "pairs"), docs, p), "links")
         links = links.unionByName(new)
@@ -402,16 +452,17 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), links: bool =
             # what was joined before is a star already, so few steps are needed
             comp = cut(components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new)), "components")
             known = known if counted else comp
-        left = _labelled(star.where("sig is not null").select("sig", "doc", "n", "first", "scan"), "doc", known)
+        left = _labelled(star.where("sig is not null").select("sig", "doc", "n", "first", "scan", "size"), "doc", known)
         open_ = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
         left = left.join(open_, "sig", "left_semi").join(sets.select(F.col("doc_id").alias("doc"), "bits"), "doc")
-        left = cut(left.select("sig", "doc", "n", "first", "scan", "comp", "bits"), "rest")
+        left = cut(left.select("sig", "doc", "n", "first", "scan", "size", "comp", "bits"), "rest")
         drop_cut(star)
         if rest is not None:
             drop_cut(rest)
         if left.isEmpty():
             break
         listed, rest, pivots = left, left, pivots * p.more
+        hot = left.where(F.col("size") > p.share) if longest > p.share else None
     # every row to its class, and the class to its component
     joined = sets.select("d1", "d2", F.col("doc_id").alias("rep")).join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     extra = []
