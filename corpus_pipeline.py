@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm.common import cut, may_hold, table
 from vertexloom.llm.jaccard import jaccard_components
-from vertexloom.llm.langid import UNKNOWN, Bounds, left_out, picked, predictor, sample
+from vertexloom.llm.langid import UNBOUNDED, UNKNOWN, learned, left_out_rates, predictor, quantile
 from vertexloom.llm.mixing import mix
 from vertexloom.llm.packing import pack_query
 from vertexloom.llm.queries import tokenizer
@@ -15,9 +15,10 @@ from vertexloom.llm.toxicity import learn, scorer
 
 #: Scores from here on are toxic.
 TOXIC = 0.5
-#: A text is of a learned language if a character costs at most SPREAD times what it costs in the share USUAL of LEFT_OUT texts
-#: of each language that weren't learned from (long ones, of LONG characters or more). FREE bits aren't counted: short texts vary.
-SPREAD, USUAL, LEFT_OUT, LONG, FREE = 1.6, 0.99, 64, 200, 128
+#: A text is of a learned language if a character costs at most SPREAD times what it costs in the share USUAL of all labelled
+#: texts of LONG characters or more, each by what the rows of the other of FOLDS say. FREE bits aren't counted: short texts vary.
+#: LEFT_OUT: for picked(), which the tests compare with.
+SPREAD, USUAL, LEFT_OUT, LONG, FREE, FOLDS = 1.6, 0.99, 64, 200, 128, 2
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; null texts and texts without a letter go, and so does what no language parses."""
-    rows = picked(docs, Bounds(), LEFT_OUT)
-    p = predictor(sample(docs, rows=rows))
-    usual = left_out(docs, rows).where(F.char_length("text") >= LONG).select(p(F.col("text"))["rate"].alias("rate")).agg(F.percentile("rate", USUAL)).first()[0]
+    models = learned(docs, folds=FOLDS)
+    p = predictor(models[0], UNBOUNDED)
+    usual = quantile(left_out_rates(docs.where(F.char_length("text") >= LONG), models[1:]).select("rate"), USUAL)
     most = float("inf") if usual is None else SPREAD * usual  # without such texts there is no bound
     found = p(F.col("text"))
     return docs.where((found["lang_pred"] != UNKNOWN) & (found["rate"] <= F.lit(most) + F.lit(float(FREE)) / F.char_length("text")))

@@ -16,7 +16,7 @@ from vertexloom.llm.common import components, may_hold, shingle_set, table
 from vertexloom.llm.fingerprints import K, bottom_k, containment, distinct_shingles, fingerprint_query, merge, merged, resemblance, with_next
 from vertexloom.llm.jaccard import Params as JaccardParams
 from vertexloom.llm.jaccard import jaccard_components
-from vertexloom.llm.langid import Bounds, SuffixAutomaton, language_query, left_out, picked, sample
+from vertexloom.llm.langid import Bounds, SuffixAutomaton, Units, language_query, learned, left_out, left_out_rates, picked, quantile, sample
 from vertexloom.llm.langid import Model as LanguageModel
 from vertexloom.llm.mixing import mix_query
 from vertexloom.llm.neardup import Params as NearParams
@@ -385,6 +385,46 @@ def test_language_costs_and_bounds(spark):
     assert left_out(df, own).count() == 90 and all(len(v) == 4 for v in sample(df, Bounds(docs=3), own).values())
 
 
+def brute_learned(rows, units, folds):
+    """learned(), from lists: rows of id, lang, text."""
+    out = [{} for _ in range(folds + 1)]
+    least = units.least(len({lang for _, lang, _ in rows}))
+    for part, found in enumerate(out):
+        for lang in {lang for i, lang, _ in rows if not part or zlib.crc32(str(i).encode()) % folds != part - 1}:
+            words = Counter(w for i, x, t in rows if x == lang and (not part or zlib.crc32(str(i).encode()) % folds != part - 1) for w in re.findall(r"[a-zäöü]{1,%d}" % units.longest, t.lower()))
+            for size in units.cuts:
+                usual = {w for w, n in words.items() if n * least >= sum(words.values())}
+                found.setdefault(lang, []).extend(sorted(usual, key=lambda w: (-words[w], w)))
+                rest, words = {w: n for w, n in words.items() if w not in usual}, Counter()
+                for w, n in rest.items():
+                    for k in range(max(1, len(w) - size + 1)):
+                        words[w[k : k + size]] += n
+            found[lang] += sorted(words, key=lambda w: (-words[w], w))
+    return [{k: [f" {w} " for w in v] for k, v in x.items()} for x in out]
+
+
+def test_language_learns_all_rows(spark):
+    """Each labelled row counts, also beyond what sample() takes; each rate is by the rows outside the row's fold."""
+    rng = np.random.default_rng(5)
+    words = {x: ["".join(rng.choice(list("aeiounrstlkä" if x == "a" else "eiouyprdmgbö"), int(rng.integers(1, 9)))) for _ in range(300)] for x in "ab"}
+    rows = [(i, "ab"[i % 2], " ".join(rng.choice(words["ab"[i % 2]], 12)).upper() + ", x" * (i % 7 == 0)) for i in range(900)]
+    df = spark.createDataFrame([*rows, (1000, None, "zz"), (None, "a", "yy"), (1001, "a", None), (1002, "b", "  ")], "doc_id long, lang string, text string")
+    for units in (Units(), Units(usual=64), Units(usual=64, total=40)):
+        assert learned(df, units, 2) == brute_learned(rows, units, 2)
+    models = learned(df, folds=2)[1:]
+    got = {r.doc_id: r.rate for r in left_out_rates(df, models).collect()}
+    by = [LanguageModel(m) for m in models]
+    assert got == {i: by[zlib.crc32(str(i).encode()) % 2].predict([t])[2][0] for i, _, t in rows}
+    exact = np.quantile(list(got.values()), 0.99)
+    assert 0 <= quantile(spark.createDataFrame([(float(x),) for x in got.values()], "rate double"), 0.99) - exact <= 2**-12
+    assert quantile(df.select("doc_id").where("false"), 0.99) is None
+    # most rows of x, but none of the first 200 by hash, are in words that the other language has in part
+    ids = [r.id for r in spark.range(1200).orderBy(F.xxhash64("id"), "id").collect()]
+    late = [(i, "x", "alpha beta gamma" if k < 700 else "kolo mira tuna") if i % 2 else (i, "y", "kolo mira delta") for k, i in enumerate(ids)]
+    pred = {r.doc_id: r.lang_pred for r in language_query(spark.createDataFrame(late, "doc_id long, lang string, text string")).collect()}
+    assert [i for i, lang, _ in late if pred[i] != lang] == []
+
+
 def test_language_query(spark, sf, odd, none):
     d = table(spark, sf.replace("0.001", "0.01"), "documents")
     got = language_query(d).collect()

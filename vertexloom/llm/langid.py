@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import bounded, cut, drop_cut, fold, held
+from vertexloom.llm.common import bounded, cut, drop_cut, fold, held, trimmed
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """What is learned from: every language, of each the documents with the lowest hash, at most `docs` of them and up to
+    """What sample() takes, and Model reads of a language (learned() has all rows instead): every language, of each the documents with the lowest hash, at most `docs` of them and up to
     `letters` characters, or to an even share of `total` characters where languages are many. window: texts are parsed
     side by side in windows of so many characters, which changes no result."""
 
@@ -32,6 +33,21 @@ class Bounds:
         return max(1, min(self.letters, self.total // max(1, languages)))
 
 
+@dataclass(frozen=True)
+class Units:
+    """How finely learned() tells apart what it counts: a unit is usual if it is at least one in `usual` of its language's
+    units, or one in an even share of `total` where languages are many. cuts: what unusual units are cut into, one after
+    another; longest: letters of a word that is taken as one."""
+
+    usual: int = 1 << 14
+    total: int = 1 << 18
+    cuts: tuple[int, ...] = (4, 2, 1)
+    longest: int = 32
+
+    def least(self, languages: int) -> int:
+        return max(1, min(self.usual, self.total // max(1, languages)))
+
+
 class SuffixAutomaton:
     """All substrings of a sequence of small integers; next[state][symbol] or nothing."""
 
@@ -235,6 +251,108 @@ def parse(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: Dense
     return total
 
 
+#: What learned() gives is parsed whole.
+UNBOUNDED = Bounds(letters=1 << 62, total=1 << 62)
+
+
+def learned(docs: DataFrame, units: Units = Units(), folds: int = 0) -> list[dict[str, list[str]]]:
+    """What all labelled rows together say of each language, as texts for a Model: first of all rows, then for each of the
+    folds (crc32 of the id) of the rows outside it.
+
+    Every word of every labelled text is counted. Words that are usual are learned whole; the others are cut into all their
+    runs of four letters, which are counted anew, with the numbers of their words; what is unusual then into runs of two,
+    and at last into letters, which are all learned. So there is no row and no letter that isn't counted, and what
+    reaches the driver depends on units and the alphabet, not on the rows. Null lang, text or id aren't learned from.
+    """
+    word = re.compile(rf"[^\W\d_]{{1,{units.longest}}}")
+
+    def words(total: Counter, text: str, n: int) -> None:
+        total.update(word.findall(text.lower()))
+
+    def runs(size: int):
+        def add(total: Counter, unit: str, n: int) -> None:
+            for i in range(max(1, len(unit) - size + 1)):
+                total[unit[i : i + size]] += n
+
+        return add
+
+    texts = bounded(docs).where(_LABELLED).select("lang", fold("doc_id", max(1, folds)).cast("int").alias("part"), F.col("text").alias("unit"), F.lit(1).cast("long").alias("n"))
+    counted = cut(_counted(texts, words), "words")
+    # part 0: all rows; part 1 + f: the rows outside fold f
+    parts = F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda p: p != F.col("part") + 1)
+    rows = counted.withColumn("part", F.explode(parts)).groupBy("lang", "part", "unit").agg(F.sum("n").alias("n"))
+    least = units.least(counted.select("lang").distinct().count())
+    out: list[dict[str, list[str]]] = [{} for _ in range(folds + 1)]
+    made = [counted]
+    for size in (*units.cuts, 0):
+        rows = cut(rows, "units")
+        made.append(rows)
+        usual = F.lit(True)
+        if size:
+            rows = rows.join(F.broadcast(rows.groupBy("lang", "part").agg(F.sum("n").alias("all"))), ["lang", "part"])
+            usual = F.col("n") * least >= F.col("all")
+        for r in sorted(rows.where(usual).select("lang", "part", "unit", "n").collect(), key=lambda r: (-r.n, r.unit)):  # 1 in `least` of each, or letters
+            out[r.part].setdefault(r.lang, []).append(f" {r.unit} ")
+        if size:
+            rows = _counted(rows.where(~usual).select("lang", "part", "unit", "n"), runs(size))
+    for x in made:
+        drop_cut(x)
+    return out
+
+
+def _counted(rows: DataFrame, add) -> DataFrame:
+    """Rows (lang, part, unit, n), n summed up, of what add(counter, unit, n) counts for each row (lang, part, unit, n)."""
+    schema = "lang string, part int, unit string, n long"
+
+    def given(lang: str, part: int, total: Counter) -> pa.RecordBatch:
+        found = [(u, n) for u, n in total.items() if u.isalpha()]
+        for u, n in total.items():
+            if not u.isalpha():  # numbers that aren't digits
+                found += [(x, n) for x in "".join(c if c.isalpha() else " " for c in u).split()]
+        total.clear()
+        m = len(found)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array([part] * m, pa.int32()), pa.array([u for u, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["lang", "part", "unit", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("units", lambda: None)
+        totals: dict[tuple, Counter] = {}
+        for batch in batches:
+            for lang, part, unit, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "unit", "n"))):
+                total = totals.setdefault((lang, part), Counter())
+                add(total, unit, n)
+                if len(total) >= 1 << 16:
+                    yield given(lang, part, total)
+            if len(totals) > 64:  # many languages
+                yield from (given(*key, total) for key, total in totals.items())
+                totals.clear()
+        yield from (given(*key, total) for key, total in totals.items())
+
+    return rows.mapInArrow(trimmed(run), schema).groupBy("lang", "part", "unit").agg(F.sum("n").alias("n"))
+
+
+def left_out_rates(docs: DataFrame, models: list[dict[str, list[str]]]) -> DataFrame:
+    """(doc_id, text, rate) of every labelled row; the rate is by what was learned outside the row's fold: models, one a fold."""
+    rows = None
+    for f, samples in enumerate(models):
+        p = predictor(samples, UNBOUNDED)
+        part = docs.where(_LABELLED).where(fold("doc_id", len(models)) == f).select("doc_id", "text", p(F.col("text"))["rate"].alias("rate"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def quantile(values: DataFrame, share: float, step: float = 2.0**-12) -> float | None:
+    """The quantile of the one column of values, rounded up to steps and counted, so that the driver gets a row a step at most."""
+    name = values.columns[0]
+    bins = sorted((r.at, r.n) for r in values.where(F.col(name).isNotNull() & ~F.isnan(name)).groupBy(F.ceil(F.col(name) / step).alias("at")).agg(F.count("*").alias("n")).collect())
+    if not bins:
+        return None
+    at, n = (np.array(x) for x in zip(*bins))
+    ends = np.cumsum(n)
+    place = share * (ends[-1] - 1)
+    lo, hi = (at[np.searchsorted(ends, k, side="right")] * step for k in (math.floor(place), math.ceil(place)))
+    return float(lo + (hi - lo) * (place - math.floor(place)))
+
+
 def picked(docs: DataFrame, bounds: Bounds, more: int = 0) -> DataFrame:
     """Rows (doc_id, lang, size, k, out) of the labelled documents that are looked at: of each language the first by hash,
     numbered k. With `more`, every fourth is left out of what is learned, up to so many of a language, and has out true."""
@@ -292,9 +410,10 @@ def predictor(samples: dict[str, list[str]], bounds: Bounds = Bounds()):
 def language_query(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits_per_char) of every row of docs. Equal texts have equal predictions, rows that
     repeat an id each their own. Null texts and texts without a letter are `und` with score 0; so is everything where
-    nothing is learned. A null id isn't held out and isn't learned from. Very long texts are parsed whole. An empty table
+    nothing is learned. All other labelled rows are learned from, a
+    null id isn't and isn't held out. Very long texts are parsed whole. An empty table
     gives no rows; extra columns are ignored."""
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
-    predict = predictor(sample(docs.where(~held)))
+    predict = predictor(learned(docs.where(~held))[0], UNBOUNDED)
     d = docs.select("doc_id", held.alias("held_out"), predict(F.col("text")).alias("p"))
     return d.select("doc_id", "held_out", "p.lang_pred", "p.score", F.col("p.rate").alias("bits_per_char"))
