@@ -131,6 +131,17 @@ def test_jaccard_join(spark, docs, odd, none, params):
     assert jaccard_components(none, params).count() == 0
 
 
+def test_components_on_the_driver(spark):
+    """A few edges are joined on the driver, with the result of the rounds."""
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-60, 60, (70, 2))] + [(k, k + 1) for k in range(200, 260)] + [(5, 5), (None, 7)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    rounds, few, over = (sorted(tuple(r) for r in components(frame, n).collect()) for n in (0, 1 << 18, 10))
+    assert rounds == few == over and len(few) > 100
+    empty = components(frame.where("false"), 10)
+    assert empty.columns == ["id", "component"] and empty.count() == 0
+
+
 def test_jaccard_long_lists(spark):
     """Lists that are dealt to several tasks give what whole ones do: a passage that many texts share, texts that contain
     little else, and near copies in number."""
@@ -149,6 +160,22 @@ def test_jaccard_long_lists(spark):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, split))
 
 
+def test_jaccard_reads_texts_once(spark, monkeypatch):
+    """However many rounds lists take, all documents are read for the texts of pairs in two of them and once for the rest."""
+    import vertexloom.llm.jaccard as J
+
+    rng = np.random.default_rng(3)
+    passages = [" ".join(f"w{k}" for k in rng.integers(0, 10**6, 12)) for _ in range(24)]
+    made = [[passages[k] for k in rng.permutation(24)[:8]] for _ in range(150)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(made)] + [(1000 + i, " ".join([*x[:7], passages[i % 24]])) for i, x in enumerate(made[:60])]
+    rows += [(2000 + i, f"alone {i} " * 9) for i in range(40)]
+    table, read = spark.createDataFrame(rows, "doc_id long, text string"), []
+    monkeypatch.setattr(J, "may_hold", lambda docs, ids, f=J.may_hold: read.append(docs.count()) or f(docs, ids))
+    got = jaccard_components(table, JaccardParams(pivots=1, more=2))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_jaccard(rows)
+    assert len(read) > 3 and sum(n == len(rows) for n in read) <= 3
+
+
 def test_jaccard_links(spark, odd, none):
     """Every link counts, also within groups of near copies whose component is known early."""
     group = [(1000 + i, " ".join([f"g{k}" for k in range(60)] + [f"own{i}"])) for i in range(30)]

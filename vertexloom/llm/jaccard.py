@@ -40,6 +40,8 @@ from vertexloom.llm.common import bounded, components, cut, drop_cut, held, may_
 K = 2
 #: A share of a list is so many times its pivots or more, since each share gets them all.
 SHARE_PIVOTS = 16
+#: So many links are joined to components on the driver (16 bytes each); more of them in rounds of small jobs.
+LOCAL_LINKS = 1 << 18
 #: Candidates for the boundary between light and heavy sets.
 BOUNDARIES = tuple(range(0, 41))
 
@@ -383,11 +385,18 @@ def possible(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     return d.mapInArrow(trimmed(run), "a long, b long")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (doc_id, distinct)."""
+    return may_hold(docs, ids).where("may").select("row.*").join(ids, "doc_id", "left_semi")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) whose texts link. Texts of the documents that occur in pairs are shuffled to the pairs' smaller
     document, and meet the other's there; sets are compared whole, as 64-bit hashes."""
+    if pairs.isEmpty():
+        return pairs
     occur = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "occur")
-    texts = may_hold(docs, occur).where("may").select("row.*").join(occur, "doc_id", "left_semi")
+    texts = texts_of(docs, occur)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -437,20 +446,20 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), links: bool =
     star = cut(stars(entries(own, None, p, sent), hot, 0, 1, p), "stars")
     links = cut(verify(cut(star.where("a is not null").select("a", "b").distinct(), "pairs"), docs, p), "links")
     drop_cut(star)
-    comp = cut(components(links), "components")
+    comp = cut(components(links, LOCAL_LINKS), "components")
     known = comp.where("false") if counted else comp  # components that lists may be left for
     own = _labelled(sets, "doc_id", known)
     listed = entries(own, x, p, sent)
     hot = cut(entries(own, x, p, sent, p.share), "hot") if longest > p.share else None
-    pivots, rest = p.pivots, None
+    pivots, rest, texts = p.pivots, None, docs
     while True:
         star = cut(stars(listed, hot, x, pivots, p), "stars")
         pairs = star.where("a is not null").select("a", "b").distinct()
-        new = cut(verify(cut(possible(pairs, sets, p) if rest is None else pairs, "pairs"), docs, p), "links")
+        new = cut(verify(cut(possible(pairs, sets, p) if rest is None else pairs, "pairs"), texts, p), "links")
         links = links.unionByName(new)
         if not new.isEmpty():
             # what was joined before is a star already, so few steps are needed
-            comp = cut(components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new)), "components")
+            comp = cut(components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new), LOCAL_LINKS), "components")
             known = known if counted else comp
         left = _labelled(star.where("sig is not null").select("sig", "doc", "n", "first", "scan", "size"), "doc", known)
         open_ = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
@@ -461,8 +470,12 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), links: bool =
             drop_cut(rest)
         if left.isEmpty():
             break
+        if texts is docs:  # later rounds read the texts of what is left, not all documents again and again
+            texts = cut(texts_of(docs, cut(left.select(F.col("doc").alias("doc_id")).distinct(), "occur")), "texts")
         listed, rest, pivots = left, left, pivots * p.more
         hot = left.where(F.col("size") > p.share) if longest > p.share else None
+    if texts is not docs:
+        drop_cut(texts)
     # every row to its class, and the class to its component
     joined = sets.select("d1", "d2", F.col("doc_id").alias("rep")).join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     extra = []
