@@ -471,7 +471,8 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), links: bool =
         if left.isEmpty():
             break
         if texts is docs:  # later rounds read the texts of what is left, not all documents again and again
-            texts = cut(texts_of(docs, cut(left.select(F.col("doc").alias("doc_id")).distinct(), "occur")), "texts")
+            occur = cut(left.select(F.col("doc").alias("doc_id")).distinct(), "occur")
+            texts = cut(may_hold(docs, occur).where("may").select("row.*"), "texts")  # a few more, but without a shuffle
         listed, rest, pivots = left, left, pivots * p.more
         hot = left.where(F.col("size") > p.share) if longest > p.share else None
     if texts is not docs:
