@@ -307,6 +307,29 @@ def test_packing(spark, docs, odd, none):
     assert pack_query(none, path).count() == 0
 
 
+def test_packing_reads_texts_in_narrow_batches(spark, tmp_path):
+    """An executor holds the texts of a batch in one array: 4096 long ones would be half a gigabyte."""
+    path, name, n = f"file://{tmp_path}/documents", "spark.sql.parquet.columnarReaderBatchSize", 3000
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text")).coalesce(1).write.parquet(path)
+    said, bus, store = spark.conf.get(name), spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    got = pack_query(spark.read.parquet(path), Q.tokenizer("word_bpe_49k.json"))
+    assert spark.conf.get(name) == said
+    assert got.count() == n
+    bus.waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    batches = []
+    for k in range(before, runs.size()):
+        i = runs.apply(k).executionId()
+        nodes, values = store.planGraph(i).allNodes(), store.executionMetrics(i)
+        for node in (nodes.apply(x) for x in range(nodes.size())):
+            if node.name() == "ColumnarToRow":
+                found = {m.name(): values.apply(m.accumulatorId()) for m in (node.metrics().apply(x) for x in range(node.metrics().size()))}
+                batches.append(int(found["number of input batches"].replace(",", "")))
+    assert batches[0] >= n / 64  # the first that reads rows of a table reads the texts
+
+
 def test_pack_histogram():
     rng = np.random.default_rng(3)
     for mu, n in ((5.5, 4000), (7.2, 3000), (8.2, 500), (3.0, 50)):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import bounded, cut, give_back, trimmed
+from vertexloom.llm.common import bounded, cut, give_back, narrow, trimmed
 from vertexloom.llm.tokens import crc_of, word_encoder
 from vertexloom.llm.tokenfile import _runs
 
@@ -233,11 +233,11 @@ def pack_pieces(pieces: DataFrame, room: int = 4096) -> DataFrame:
     those of its length comes from a window in a chunk of about CHUNK rows and prefix sums over the chunks, so that one
     length may hold most rows. Rows that repeat an id are told apart by their checksum; equal ones are interchangeable.
     """
-    sums = pieces.groupBy("length").agg(F.count("*").alias("n"))
-    histogram = {r.length: r.n for r in sums.collect()}
+    sums = pieces.groupBy("length").agg(F.count("*").alias("n")).toArrow()
+    histogram = dict(zip(sums.column("length").to_pylist(), sums.column("n").to_pylist()))
     layout = Layout(pack(histogram, room))
     spread = F.xxhash64("doc_id", "piece", "ids_crc32")
-    most = F.broadcast(sums)  # at most room rows
+    most = F.broadcast(pieces.sparkSession.createDataFrame(sums))  # at most room rows, not counted again
     d = pieces.join(most, "length").withColumn("chunk", F.pmod(spread, F.ceil(F.col("n") / CHUNK).cast("long")))
     key = ["length", "chunk"]
     counts = d.groupBy(*key).agg(F.count("*").alias("in_chunk"))
@@ -256,4 +256,6 @@ def pack_pieces(pieces: DataFrame, room: int = 4096) -> DataFrame:
 
 
 def pack_query(docs: DataFrame, tokenizer: str, room: int = 4096) -> DataFrame:
-    return pack_pieces(cut(encode_pieces(docs, tokenizer, room=room), "pieces"), room)
+    with narrow(docs.sparkSession):  # cut() reads the texts, nothing after it does
+        pieces = cut(encode_pieces(docs, tokenizer, room=room), "pieces")
+    return pack_pieces(pieces, room)
