@@ -281,6 +281,40 @@ def test_ids_of_combining_marks(spark):
             assert len(ids) in got[i] and crc(ids) in got[i]
 
 
+SIGNED = ["it's", "tea.'s", "tea!'re b", "tea'.s", "O'T'S, l'été", "a&&&b", "a.b@c.de/f-g_h?i=j", "É!! Été### ß.ß ÿ~ñ", "x=\u0338y", "ſt. K. Å,", "ıİ. Σας, ΣΑΣ.", "한국, 각.", "a<b<|endoftext|>c.", "a.\u3000b,\u00a0c;\x85d!", "x²,½.", "ªº. µ,", "a\u200d.b", "''s.'s'", "1,5.a2!b", "[a](b){c}|d|"]
+
+
+def test_ids_of_signs_after_letters():
+    """Signs are set apart from letters, words are forgotten and met again, hashes meet: the ids stay the library's."""
+    path = Q.tokenizer("word_bpe_49k.json")
+    whole, rng = load(path), np.random.default_rng(8)
+    texts = SIGNED + [x.upper() for x in SIGNED] + ["".join(rng.choice(list("aZéÉß .,!'#<|&-\u0338s1ı"), 40)) for _ in range(400)]
+    texts += [" ".join(rng.choice([f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{s}" for k in range(200) for s in ("", ".", "###")], 30)) for _ in range(100)]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (500_000, 300, 40, 1):
+        e = WordEncoder(path, most)
+        assert [x.tolist() for lo in range(0, len(texts), 20) for x in e.encode_all(texts[lo : lo + 20])] == want
+        assert sorted(e.places) == list(range(len(e.words))) and (np.diff(e.hashes) >= 0).all()
+    e = WordEncoder(path)
+    e._hashes = lambda words: np.fromiter((len(w) for w in words.to_pylist()), np.int64, len(words))
+    assert [x.tolist() for lo in range(0, len(texts), 20) for x in e.encode_all(texts[lo : lo + 20])] == want
+
+
+def test_words_are_encoded_once():
+    """A sign after a word makes no new word, and words that come again outlive the forgetting of others."""
+    e, learned = WordEncoder(Q.tokenizer("word_bpe_49k.json"), 60), []
+    learn = e._learn
+    e._learn = lambda words, *rest: learned.append(set(words.to_pylist())) or learn(words, *rest)
+    e.encode_all(["Tea bread"])
+    e.encode_all(["tea### bread&&& TEA, bread!"])
+    assert learned == [{"tea", "bread"}, {"###", "&&&", ",", "!"}]
+    for k in range(20):
+        e.encode_all([" ".join("x" * k + "y" * n for n in range(1, 20))])
+        if k % 2:
+            e.encode_all(["tea bread"])
+    assert sum("tea" in x for x in learned) == 1 and len(e.words) <= 60
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,12 @@ def load(path: str):
 
 
 #: Letters that neither lower-casing nor composition changes.
-_PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_PLAIN = f"^[{_LETTERS}]+$"
+#: Such a letter and a sign of ASCII but the apostrophe: a pre-token ends between them, whatever comes before and after.
+_LETTER_SIGN = rf"([{_LETTERS}])([!-&(-/:-@\[-`{{-~])"
+#: Normalisers that change nothing in such letters with single spaces between words.
+_IDLE = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "})
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -41,13 +47,17 @@ class WordEncoder:
 
     That holds where the pre-tokenizer drops white space and nothing else joins words, as in word_bpe_49k.json; then a
     text's ids are those of its white-space-separated words one after the other, and each distinct word need be encoded
-    once. The words met are kept, up to `most` of them; then all are forgotten but those that came again just then.
+    once. The words met are kept, up to `most` of them; then those are forgotten that didn't come again since the last time.
+    They are found by their hashes, kept in order, and compared whole, so that a lookup costs as many steps as there are
+    words to look up, not as there are words known.
     """
 
     def __init__(self, path: str, most: int = 500_000):
         self.tokenizer, self.most = load(path), most
         with open(path, encoding="utf-8") as f:
-            suffix = json.load(f)["model"].get("end_of_word_suffix")
+            said = json.load(f)
+        suffix, first = said["model"].get("end_of_word_suffix"), said.get("normalizer") or {}
+        self.idle = bool(first) and all(x in _IDLE for x in first.get("normalizers", [first]))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.end_of_word = None
         if suffix:
@@ -55,22 +65,59 @@ class WordEncoder:
             self.end_of_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.words = pa.array([], pa.large_string())
         self.lengths, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)  # words that came again since words were forgotten
+        self.hashes, self.places = np.zeros(0, np.int64), np.zeros(0, np.int64)  # ascending hashes, the words' places
 
-    def _keep(self, words: pa.Array, known: np.ndarray) -> None:
-        """Forgets all but those of the given words that were known, at the places `known`, which are made anew."""
-        old = np.flatnonzero(known >= 0)
-        n, first = self.lengths[known[old]], self.starts[known[old]]
+    @staticmethod
+    def _hashes(words: pa.Array) -> np.ndarray:
+        return np.fromiter(map(hash, words.to_numpy(zero_copy_only=False)), np.int64, len(words))
+
+    def _find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The places of words, -1 for unknown ones. Of words with equal hashes one is found, the others count as unknown."""
+        places = np.full(len(words), -1)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            like = np.flatnonzero(self.hashes[at] == hashes)
+            found = self.places[at[like]]
+            same = pc.equal(words.take(pa.array(like)), self.words.take(pa.array(found))).to_numpy(zero_copy_only=False).astype(bool)
+            places[like[same]] = found[same]
+        return places
+
+    def _keep(self, known: np.ndarray, room: int) -> np.ndarray:
+        """Forgets all words but those that came again, or if these are more than room, all but those at the places `known`
+        (-1: none). Returns the new places of the latter."""
+        stays = self.again.copy()
+        if stays.sum() > room:
+            stays[:] = False
+            stays[known[known >= 0]] = True
+        old, new = np.flatnonzero(stays), np.cumsum(stays) - 1
+        n, first = self.lengths[old], self.starts[old]
         ends = np.cumsum(n)
         self.ids = self.ids[np.repeat(first - (ends - n), n) + np.arange(int(n.sum()))]
         self.lengths, self.starts = n, ends - n
-        self.words = words.take(pa.array(old))
-        known[old] = np.arange(len(old))
+        self.words, self.again = self.words.take(pa.array(old)), np.zeros(len(old), bool)
+        kept = stays[self.places]
+        self.hashes, self.places = self.hashes[kept], new[self.places[kept]]
+        return np.where(known >= 0, new[known], -1) if len(stays) else known
+
+    @contextlib.contextmanager
+    def _bare(self):
+        """What runs within it encodes without the normaliser, if that is idle on plain words: it takes a third of their time."""
+        from tokenizers import normalizers
+
+        whole = self.tokenizer.normalizer
+        if self.idle:
+            self.tokenizer.normalizer = normalizers.Sequence([])
+        try:
+            yield
+        finally:
+            self.tokenizer.normalizer = whole
 
     def _ids(self, texts: list[str], at_once: int) -> list[list[int]]:
         """Ids of each text; what the library gives beside them is let go after every `at_once`."""
         return [x.ids for lo in range(0, len(texts), at_once) for x in self.tokenizer.encode_batch_fast(texts[lo : lo + at_once], add_special_tokens=False)]
 
-    def _learn(self, words: pa.Array) -> np.ndarray:
+    def _learn(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
         """Encodes and keeps new words; their places."""
         plain = np.zeros(len(words), bool)
         if self.end_of_word is not None:
@@ -80,7 +127,8 @@ class WordEncoder:
         n_plain, parts, lengths = int(plain.sum()), [], []
         if n_plain:  # one pre-token each, and only its last id ends a word: encoded side by side, cut after these ids
             lines = [" ".join(words.slice(lo, min(256, n_plain - lo)).to_pylist()) for lo in range(0, n_plain, 256)]
-            ids = np.concatenate([np.array(x, np.uint32) for x in self._ids(lines, 8)])
+            with self._bare():
+                ids = np.concatenate([np.array(x, np.uint32) for x in self._ids(lines, 8)])
             ends = np.flatnonzero(self.end_of_word[ids])
             parts.append(ids)
             lengths.append(np.diff(ends, prepend=-1))
@@ -96,6 +144,10 @@ class WordEncoder:
         self.lengths = np.concatenate([self.lengths, n])
         self.ids = np.concatenate([self.ids, *parts])
         self.words = pa.concat_arrays([self.words, words])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+        hashes, places = np.concatenate([self.hashes, hashes]), np.concatenate([self.places, place])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.places = hashes[order], places[order]
         return place
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -107,12 +159,14 @@ class WordEncoder:
         each = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
         del words
-        known = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        hashes = self._hashes(coded.dictionary)
+        known = self._find(coded.dictionary, hashes)
+        self.again[known[known >= 0]] = True
         new = np.flatnonzero(known < 0)
         if len(self.words) + len(new) > self.most:
-            self._keep(coded.dictionary, known)
+            known = self._keep(known, self.most // 2)
         if len(new):
-            known[new] = self._learn(coded.dictionary.take(pa.array(new)))
+            known[new] = self._learn(coded.dictionary.take(pa.array(new)), hashes[new])
         k = known[coded.indices.to_numpy(zero_copy_only=False)]
         n = self.lengths[k]
         ends = np.cumsum(n)
@@ -124,13 +178,13 @@ class WordEncoder:
     @staticmethod
     def _words(texts: list[str | None] | pa.Array) -> pa.Array:
         """Lists of words that the pre-tokenizer treats apart: runs of what isn't U+0009 to U+000D or space. To meet fewer
-        distinct ones, A-Z are lower-cased, as the normaliser does, and a full stop or comma after a letter is set apart,
-        as the pre-tokenizer does; not in texts that may hold special strings, which are matched before that, and not in
-        texts with combining marks, since the normaliser composes first and some letters compose in lower case only."""
+        distinct ones, A-Z are lower-cased, as the normaliser does, and a sign after a letter is set apart, as the
+        pre-tokenizer does; not in texts that may hold special strings, which are matched before that, and not in texts
+        with combining marks, since the normaliser composes first and some letters compose in lower case only."""
         if isinstance(texts, pa.Array):  # a slice is copied first: kernels down the line take its whole buffer for its own
             texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
         raw = pc.fill_null(pa.array(texts, pa.large_string()), "")
-        plain = pc.replace_substring_regex(pc.ascii_lower(raw), r"([a-z])([,.][ \t\n\r\f\v])", r"\1 \2")
+        plain = pc.replace_substring_regex(pc.ascii_lower(raw), _LETTER_SIGN, r"\1 \2")
         return pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(raw, r"<\||\p{M}"), raw, plain))
 
 
