@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import cut, may_hold, narrowed, table
+from vertexloom.llm.common import cut, may_hold, narrowed, sweep, swept, table
 from vertexloom.llm.jaccard import jaccard_components
 from vertexloom.llm.langid import UNBOUNDED, UNKNOWN, learned, left_out_rates, predictor, quantile
 from vertexloom.llm.mixing import mix
@@ -23,17 +23,19 @@ SPREAD, USUAL, LEFT_OUT, LONG, FREE, FOLDS = 1.6, 0.99, 64, 200, 128, 2
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC; rows without a text stay."""
-    docs = narrowed(docs)
+    docs = swept(narrowed(docs))
     return docs.where(scorer(learn(docs, table(spark, sf_dir, "labels")))(F.col("text")) < TOXIC)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; null texts and texts without a letter go, and so does what no language parses."""
-    docs = narrowed(docs)
+    docs = swept(narrowed(docs))
     models = learned(docs, folds=FOLDS)
+    sweep(spark)
     p = predictor(models[0], UNBOUNDED)
     usual = quantile(left_out_rates(docs.where(F.char_length("text") >= LONG), models[1:]).select("rate"), USUAL)
     most = float("inf") if usual is None else SPREAD * usual  # without such texts there is no bound
+    sweep(spark)
     found = p(F.col("text"))
     return docs.where((found["lang_pred"] != UNKNOWN) & (found["rate"] <= F.lit(most) + F.lit(float(FREE)) / F.char_length("text")))
 
@@ -43,8 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Only documents that may go are shuffled: the others are told by a bounded bit table of the ids that go.
     """
-    docs = narrowed(docs)
+    docs = swept(narrowed(docs))
     found = cut(jaccard_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count("*").alias("rows")), "found")
+    sweep(spark)
     gone = found.where("low < doc_id").select("doc_id")
     repeated = found.where("low = doc_id and rows > 1").select("doc_id")
     d = may_hold(docs, gone.unionByName(repeated))
@@ -56,14 +59,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them."""
-    docs = narrowed(docs)
+    docs = swept(narrowed(docs))
     d = mix(docs).where("mix.copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int"))))
     return d.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 4096 tokens."""
-    docs = narrowed(docs)
+    docs = swept(narrowed(docs))
     return pack_query(docs, tokenizer("word_bpe_49k.json"))
 
 

@@ -125,6 +125,20 @@ def test_empty_table(spark, sf):
         assert docs.count() == 0
 
 
+def full_collections(spark):
+    """Of this JVM, which is the executor too: collections by the bean that counts full ones, the last of them."""
+    return list(spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())[-1].getCollectionCount()
+
+
+def test_stages_begin_with_a_small_heap(spark, sf):
+    """An executor's heap keeps what earlier stages took, which the workers' memory comes on top of."""
+    docs = cut(spark.createDataFrame(ODD, DOCS), "odd")
+    for name, stage in P.STAGES:
+        before, out = full_collections(spark), stage(spark, docs, sf)
+        assert full_collections(spark) > before, name
+        docs = cut(out, name)
+
+
 def test_registry():
     import __spark_entry__ as entry
 

@@ -34,7 +34,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import bounded, components, cut, drop_cut, held, may_hold, mix, shingle_set, trimmed
+from vertexloom.llm.common import bounded, components, cut, drop_cut, held, may_hold, mix, shingle_set, swept, trimmed
 
 #: Size of the subsets that light sets enumerate.
 K = 2
@@ -432,19 +432,19 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), links: bool =
     """
     p, counted = params, links
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = cut(describe(docs, p), "described")
+    seen = swept(cut(describe(docs, p), "described"))
     light = seen.where("n is not null").select("doc_id", "n", "d1", "d2")
     classes = frequency_class(_sum_counters(seen.where("chunk is not null").select("chunk", "salt", "part"), p.counters))
     sent = docs.sparkSession.sparkContext.broadcast(classes)
     longest = int(8 << int(classes.max(initial=0)))  # of all lists
     made = heads(docs, sent, p).groupBy("d1", "d2")
-    sets = cut(made.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cost").alias("cost"), F.first("least").alias("least"), F.first("head").alias("head"), F.first("bits").alias("bits"), *([F.count("*").alias("copies")] if counted else [])), "sets")
+    sets = swept(cut(made.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cost").alias("cost"), F.first("least").alias("least"), F.first("head").alias("head"), F.first("bits").alias("bits"), *([F.count("*").alias("copies")] if counted else [])), "sets"))
     x = boundary(sets, p)
     # round 0: the few least hashes join most of what is nearly equal
     own = sets.withColumn("comp", F.col("doc_id"))
     hot = cut(entries(own, None, p, sent, p.share), "hot") if longest > p.share else None
     star = cut(stars(entries(own, None, p, sent), hot, 0, 1, p), "stars")
-    links = cut(verify(cut(star.where("a is not null").select("a", "b").distinct(), "pairs"), docs, p), "links")
+    links = swept(cut(verify(cut(star.where("a is not null").select("a", "b").distinct(), "pairs"), docs, p), "links"))
     drop_cut(star)
     comp = cut(components(links, LOCAL_LINKS), "components")
     known = comp.where("false") if counted else comp  # components that lists may be left for
@@ -464,7 +464,7 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), links: bool =
         left = _labelled(star.where("sig is not null").select("sig", "doc", "n", "first", "scan", "size"), "doc", known)
         open_ = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
         left = left.join(open_, "sig", "left_semi").join(sets.select(F.col("doc_id").alias("doc"), "bits"), "doc")
-        left = cut(left.select("sig", "doc", "n", "first", "scan", "size", "comp", "bits"), "rest")
+        left = swept(cut(left.select("sig", "doc", "n", "first", "scan", "size", "comp", "bits"), "rest"))
         drop_cut(star)
         if rest is not None:
             drop_cut(rest)
